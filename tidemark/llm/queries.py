@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import forms
+from tidemark.llm import bytepairs, forms, packing, spans
 from tidemark.sources.tables import table
 
 
@@ -24,5 +24,52 @@ def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
     return forms.forms(_forum_texts(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_forms)}
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents", "doc_id", "text")
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document; null and empty texts have the empty list."""
+    documents = bytepairs.spread(_documents(spark, folder))
+    return bytepairs.encoded(documents, documents["doc_id"], documents["text"])
+
+
+def _assigned(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _documents(spark, folder)
+    dealt = bytepairs.spread(documents)
+    return packing.assignments(bytepairs.token_counts(dealt, dealt["doc_id"], dealt["text"]), documents.count())
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document or piece of one."""
+    return _assigned(spark, folder)
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """What each container holds and leaves unused."""
+    return packing.containers(_assigned(spark, folder))
+
+
+def p7_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Unused space over all containers."""
+    return packing.totals(_assigned(spark, folder))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents with a common span of 100 or more characters."""
+    return spans.shared_pairs(_documents(spark, folder))
+
+
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The shared stretches of each document."""
+    return spans.document_spans(_documents(spark, folder))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """For each document, how much of its text stands elsewhere too."""
+    return spans.document_shares(_documents(spark, folder))
+
+
+_ALL = (p4_found, p4_forms, p6_ids, p7_packed, p7_containers, p7_totals, p8_found, p8_spans, p8_shares)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
