@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bytepairs, forms, packing, spans
+from tidemark.llm import bytepairs, canonical, forms, packing, spans
 from tidemark.sources.tables import table
 
 
@@ -24,6 +24,23 @@ def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
     return forms.forms(_forum_texts(spark, folder))
 
 
+def _typed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
+        table(spark, folder, "comments", "comment_id", "stock_targets"), table(spark, folder, "targets", "stock_no", "stock_name"),
+        table(spark, folder, "nicknames", "stock_no", "stock_nickname"),
+    )
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The code each typed stock target stands for."""
+    return canonical.resolved(*_typed(spark, folder))
+
+
+def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed values that stand for no stock, with counts."""
+    return canonical.unmatched(*_typed(spark, folder))
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", "doc_id", "text")
 
@@ -70,6 +87,6 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return spans.document_shares(_documents(spark, folder))
 
 
-_ALL = (p4_found, p4_forms, p6_ids, p7_packed, p7_containers, p7_totals, p8_found, p8_spans, p8_shares)
+_ALL = (p4_found, p4_forms, p5_found, p5_unmatched, p6_ids, p7_packed, p7_containers, p7_totals, p8_found, p8_spans, p8_shares)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
