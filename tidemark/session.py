@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings the engine is designed for; a session the caller made keeps its own.
 DEFAULTS = {
@@ -31,9 +32,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    return named.rstrip("/")
 
 
 def share_package(spark: SparkSession) -> None:
@@ -45,3 +44,14 @@ def share_package(spark: SparkSession) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, known) if p)
+
+
+def materialize(frame: DataFrame) -> DataFrame:
+    """Cut the lineage: write the frame as a table in the shared checkpoint folder and read it from there.
+
+    The copy survives lost executors, and its known size lets Spark choose joins.
+    """
+    spark = frame.sparkSession
+    path = f"{checkpoint_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
