@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.distance import restricted_distance_col
 from tidemark.llm.forms import fold
+from tidemark.session import materialize
 
 THRESHOLD = 0.4
 #: A similar name must also be reachable by so many edits.
@@ -180,9 +181,10 @@ def similar(values: DataFrame, reference: DataFrame, threshold: float = THRESHOL
 
 def matched(counted: DataFrame, targets: DataFrame, nicknames: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(value, n) to (value, stock_no) of the values that stand for a stock."""
-    values = counted.mapInPandas(_value_rows, "value string, n bigint, kind string, reading string, tokens array<string>")
-    reference = entries(targets, nicknames).mapInPandas(_entry_rows, "stock_no string, kind string, entry string, tokens array<string>")
-    pairs = similar(values, reference, threshold).where((F.col("kind") != NAME) | (F.col("edits") <= MAX_EDITS))
+    # Both sides and the pairs are used several times; without a cut each use would repeat the work before it.
+    values = materialize(counted.mapInPandas(_value_rows, "value string, n bigint, kind string, reading string, tokens array<string>"))
+    reference = materialize(entries(targets, nicknames).mapInPandas(_entry_rows, "stock_no string, kind string, entry string, tokens array<string>"))
+    pairs = materialize(similar(values, reference, threshold).where((F.col("kind") != NAME) | (F.col("edits") <= MAX_EDITS)))
     named = pairs.where(F.col("kind") == CODE).groupBy("stock_no").agg(F.sum("n").alias("named"))
     level = (
         F.when(F.col("kind") == CODE, 5)
@@ -202,7 +204,7 @@ def resolved(comments: DataFrame, targets: DataFrame, nicknames: DataFrame, thre
     """(comment_id, target_pos, stock_no): each typed element with its code, '' if it stands for none."""
     typed = typed_values(comments)
     counted = typed.select(F.explode(F.array("value", "other")).alias("value")).where("value is not null and value <> ''").groupBy("value").agg(F.count("*").alias("n"))
-    known = matched(counted, targets, nicknames, threshold)
+    known = materialize(matched(counted, targets, nicknames, threshold))
     first = typed.join(known, "value", "left").withColumnRenamed("stock_no", "by_value")
     both = first.join(known.withColumnsRenamed({"value": "other", "stock_no": "by_other"}), "other", "left")
     return both.select("comment_id", "target_pos", F.coalesce("by_value", "by_other", F.lit("")).alias("stock_no"))
