@@ -4,10 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bytepairs, canonical, forms, packing, spans
+from tidemark.llm import bytepairs, canonical, cuts, forms, packing, spans
 from tidemark.sources.tables import table
 
 
+def _cut_scores(spark: SparkSession, folder: str) -> DataFrame:
+    names = cuts.lexicon(table(spark, folder, "targets", "stock_name"), table(spark, folder, "nicknames", "stock_nickname"))
+    texts = cuts.texts_of(table(spark, folder, "comments", "comment_id", "source", "comment"), table(spark, folder, "articles", "id", "source", "paragraph_title"))
+    return cuts.scored(texts, names)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose comment or title was cut before its end."""
+    return _cut_scores(spark, folder).where("p_cut >= 0.5").select("src", "row_id")
+
+
+def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The probability of a cut for each row."""
+    return _cut_scores(spark, folder)
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source cuts."""
+    return cuts.rates(_cut_scores(spark, folder))
+
+
 def _forum_texts(spark: SparkSession, folder: str) -> DataFrame:
     return forms.forum_texts(
         table(spark, folder, "comments", "comment_id", "comment"), table(spark, folder, "articles", "id", "paragraph_title", "paragraph_content")
@@ -87,6 +108,6 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return spans.document_shares(_documents(spark, folder))
 
 
-_ALL = (p4_found, p4_forms, p5_found, p5_unmatched, p6_ids, p7_packed, p7_containers, p7_totals, p8_found, p8_spans, p8_shares)
+_ALL = (p2_found, p2_scores, p2_rates, p4_found, p4_forms, p5_found, p5_unmatched, p6_ids, p7_packed, p7_containers, p7_totals, p8_found, p8_spans, p8_shares)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
