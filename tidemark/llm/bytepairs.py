@@ -225,10 +225,10 @@ def token_counts(frame: DataFrame, key: Column, text: Column, name: str = DEFAUL
     return frame.select(key.cast("bigint").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint")
 
 
-def spread(frame: DataFrame) -> DataFrame:
+def spread(frame: DataFrame, key: str = "doc_id") -> DataFrame:
     """Deal rows over all cores where the input has fewer splits than there are cores; large inputs stay as they are."""
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores * 3, frame.columns[0]) if frame.rdd.getNumPartitions() < cores else frame
+    return frame.repartition(cores * 3, key) if frame.rdd.getNumPartitions() < cores else frame
 
 
 __all__ = ["Encoder", "EditableText", "PrefixTable", "Vocabulary", "encoded", "encoder", "read_ranks", "spread", "token_counts"]

@@ -2,12 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bytepairs, canonical, cuts, forms, packing, spans
+from tidemark.llm import abuse, bytepairs, canonical, cuts, forms, packing, spans
 from tidemark.sources.tables import table
 
 
+def _reviewable(spark: SparkSession, folder: str) -> DataFrame:
+    """(src, row_id, source, text) of the three fields that people write freely."""
+    fields = (("comments", "comment_id", "comment"), ("articles", "id", "paragraph_content"), ("documents", "doc_id", "text"))
+    parts = [table(spark, folder, src, key, "source", text).select(F.lit(src).alias("src"), F.col(key).alias("row_id"), "source", F.col(text).alias("text")) for src, key, text in fields]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _abuse_scores(spark: SparkSession, folder: str) -> DataFrame:
+    texts, labels = _reviewable(spark, folder), table(spark, folder, "review_labels")
+    names = cuts.lexicon(table(spark, folder, "targets", "stock_name"), table(spark, folder, "nicknames", "stock_nickname"))
+    sample, marks = abuse.reviewed(texts, labels)
+    params = abuse.train(sample, marks, abuse.Reader(names), abuse.unreviewed(texts, labels)) if sample else None
+    return abuse.scored(bytepairs.spread(texts, "row_id"), params, names)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that hold an abusive, hateful or sexually explicit passage."""
+    return _abuse_scores(spark, folder).where(F.col("score") >= abuse.THRESHOLD).select("src", "row_id")
+
+
+def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every row."""
+    return _abuse_scores(spark, folder)
+
+
+def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source holds such passages."""
+    return abuse.rates(_abuse_scores(spark, folder))
+
+
 def _cut_scores(spark: SparkSession, folder: str) -> DataFrame:
     names = cuts.lexicon(table(spark, folder, "targets", "stock_name"), table(spark, folder, "nicknames", "stock_nickname"))
     texts = cuts.texts_of(table(spark, folder, "comments", "comment_id", "source", "comment"), table(spark, folder, "articles", "id", "source", "paragraph_title"))
@@ -108,6 +138,6 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return spans.document_shares(_documents(spark, folder))
 
 
-_ALL = (p2_found, p2_scores, p2_rates, p4_found, p4_forms, p5_found, p5_unmatched, p6_ids, p7_packed, p7_containers, p7_totals, p8_found, p8_spans, p8_shares)
+_ALL = (p1_found, p1_scores, p1_rates, p2_found, p2_scores, p2_rates, p4_found, p4_forms, p5_found, p5_unmatched, p6_ids, p7_packed, p7_containers, p7_totals, p8_found, p8_spans, p8_shares)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
