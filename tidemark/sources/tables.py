@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from tidemark.session import share_package
 
 
-def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+def table(spark: SparkSession, folder: str, name: str, *columns: Column | str) -> DataFrame:
     """Read one table; naming columns keeps the scan narrow even below an opaque Python stage."""
     share_package(spark)
     frame = spark.read.parquet(f"{folder}/{name}.parquet")
