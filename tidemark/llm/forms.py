@@ -152,7 +152,7 @@ def distinct_forms(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 def forms(rows: DataFrame) -> DataFrame:
     """(field_name, id, text) to (field_name, id, form). A null text has a null form."""
-    keyed = rows.withColumn("k", text_key(F.col("text")))
+    keyed = rows.select("field_name", "id", "text").withColumn("k", text_key(F.col("text")))
     distinct = keyed.where("k is not null").groupBy("field_name", "k").agg(F.first("text").alias("text"))
     made = distinct_forms(distinct, ["field_name", "k"])
     return keyed.select("field_name", "id", "k").join(made, ["field_name", "k"], "left").select("field_name", "id", "form")
@@ -163,7 +163,7 @@ def lookalike_pairs(rows: DataFrame) -> DataFrame:
 
     Groups with one text only (most, however many rows they hold) never reach the pairing join.
     """
-    keyed = rows.where("text is not null").withColumn("k", text_key(F.col("text")))
+    keyed = rows.where("text is not null").select("field_name", "id", "text").withColumn("k", text_key(F.col("text")))
     distinct = keyed.groupBy("field_name", "k").agg(F.first("text").alias("text"))
     variants = distinct_forms(distinct, ["field_name", "k"]).select("field_name", "k", text_key(F.col("form")).alias("f"))
     groups = variants.groupBy("field_name", "f").agg(F.count("*").alias("n")).where("n > 1").drop("n")

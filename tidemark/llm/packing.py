@@ -8,7 +8,8 @@ Documents are dealt by hash to shards of about ``shard_docs`` documents, each pa
 shard wastes at most the slack of its last sequences, so the loss to sharding is below one sequence in thousands.
 
 Defined results: null and empty texts are items of 0 tokens and get a place; rows that share a doc_id are packed each on
-their own; an empty table gives no rows.
+their own; an empty table gives no rows; a null size counts as 0. Documents are dealt by id and size, so that rows of one
+id don't gather in one shard unless they are equal.
 """
 
 from __future__ import annotations
@@ -73,8 +74,12 @@ def assignments(sized: DataFrame, total_docs: int, capacity: int = CAPACITY, sha
             "first_token": pieces * capacity, "tokens": sizes, "cost": cost(sizes, linear, quadratic),
         })
 
-    shard = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(shards))
-    return sized.withColumn("shard", shard).groupBy("shard").applyInPandas(run, ASSIGNMENT)
+    # A null id would turn ids to floating point on the way through pandas.
+    none = F.lit(-(2**63))
+    rows = sized.select(F.coalesce(F.col("doc_id").cast("bigint"), none).alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
+    shard = F.pmod(F.xxhash64(F.col("doc_id"), F.col("n_tokens"), F.lit(7)), F.lit(shards))
+    packed = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(run, ASSIGNMENT)
+    return packed.withColumn("doc_id", F.nullif("doc_id", none))
 
 
 def containers(assigned: DataFrame, capacity: int = CAPACITY) -> DataFrame:
