@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -65,12 +66,11 @@ def decode(text: str | None) -> Any:
         return None
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def _clean(text: str) -> str:
-    try:
-        text.encode("utf-8")
-        return text
-    except UnicodeEncodeError:
-        return text.encode("utf-8", "surrogatepass").decode("utf-8", "replace")
+    return _LONE.sub("\ufffd", text)
 
 
 def scalar_text(value: Any) -> str:

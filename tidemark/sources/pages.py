@@ -72,10 +72,10 @@ class _Article(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
-        names = a.get("class") or ""
+        names = (a.get("class") or "").split()
         if tag in ("br", "img", "meta", "link", "input", "hr"):
             return
-        mark = "main" if a.get("id") == "main-content" else names.split()[0] if names else ""
+        mark = "main" if a.get("id") == "main-content" else next((n for n in names if n.startswith("push")), names[0] if names else "")
         self.found |= mark == "main"
         if mark == "push":
             self.pushes.append({})
