@@ -14,13 +14,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.session import materialize
+
 SCHEMA = (
     "src string, record_id bigint, occurrence int, parent_occurrence int, role string, field string, ordinal int, "
     "parent_pos int, comment_pos int, target_pos int, object_id string, value string, body string"
@@ -34,6 +36,7 @@ _ARROW = pa.schema(
     ]
 )
 BRIDGE_COLUMNS = [f.name for f in _ARROW if f.name != "body"]
+TARGET_ROLES = ("target", "article_target")
 _ROWS_PER_BATCH = 20_000
 
 
@@ -66,6 +69,7 @@ def decode(text: str | None) -> Any:
         return None
 
 
+_canonical = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode
 _LONE = re.compile("[\ud800-\udfff]")
 
 
@@ -210,12 +214,12 @@ def identify(root: Node) -> list[tuple[Node, int, int, str, str]]:
     for i in range(len(order) - 1, -1, -1):
         node, parent = order[i]
         if node.scalars is None:
-            body = json.dumps({"value": node.value}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+            body = _canonical({"value": node.value})
         else:
             plain = {"scalars": node.scalars, "children": sorted(refs[i])}
             if node.role == "target":  # which pair comes first counts here, so it belongs to the identity
                 plain["first"] = next(iter(node.scalars))
-            body = json.dumps(plain, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+            body = _canonical(plain)
         body = _clean(body)
         made[i] = (hashlib.blake2b(body.encode(), digest_size=16).hexdigest(), body)
         if parent >= 0:
@@ -223,8 +227,11 @@ def identify(root: Node) -> list[tuple[Node, int, int, str, str]]:
     return [(node, i, parent, *made[i]) for i, (node, parent) in enumerate(order)]
 
 
-def shred(frame: DataFrame, src: str, record_id: Column, payload: Column, tree: Callable[[Any], Node | None] = forum_tree) -> DataFrame:
-    """All occurrences of all objects in the payloads, one map-only pass. The body is given once per batch and id."""
+def shred(
+    frame: DataFrame, src: str, record_id: Column, payload: Column, tree: Callable[[Any], Node | None] = forum_tree, roles: Sequence[str] | None = None
+) -> DataFrame:
+    """All occurrences of all objects in the payloads, one map-only pass. The body is given once per batch and id.
+    ``roles``: only occurrences of these leave Python (identities are still made of whole subtrees)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -235,6 +242,8 @@ def shred(frame: DataFrame, src: str, record_id: Column, payload: Column, tree:
                 if root is None:
                     continue
                 for node, at, parent, ident, body in identify(root):
+                    if roles is not None and node.role not in roles:
+                        continue
                     first = ident not in seen
                     seen.add(ident)
                     out.append((src, record, at, parent, node.role, node.field, node.ordinal, node.parent_pos, node.comment_pos, node.target_pos, ident, node.value, body if first else None))
@@ -271,9 +280,11 @@ def resolve(occurrences: DataFrame, store: DataFrame, salts: int = 8) -> DataFra
 
 def target_rows(shredded: DataFrame) -> DataFrame:
     """One row per stock target with the keys of comment and parent comment; texts of objects come from the store."""
-    found = bridges(shredded).where(F.col("role").isin("target", "article_target"))
+    # Used three times below: written once, so payloads are parsed once.
+    shredded = materialize(shredded.where(F.col("role").isin(*TARGET_ROLES)))
+    found = bridges(shredded)
     plain = found.where(F.col("value").isNotNull()).withColumn("target_text", F.col("value"))
-    store = objects(shredded.where(F.col("role").isin("target", "article_target") & F.col("value").isNull()))
+    store = objects(shredded.where(F.col("value").isNull()))
     keyed = resolve(found.where(F.col("value").isNull()), store)
     first = F.coalesce(F.get_json_object("body", "$.first"), F.map_keys(F.from_json(F.get_json_object("body", "$.scalars"), "map<string,string>"))[0])
     keyed = keyed.withColumn("target_text", first).drop("body")
@@ -283,8 +294,8 @@ def target_rows(shredded: DataFrame) -> DataFrame:
 
 def comment_rows(shredded: DataFrame) -> DataFrame:
     """Flat comments with parent keys, fields read from the object store."""
-    found = bridges(shredded).where(F.col("role") == "comment")
-    full = resolve(found, objects(shredded.where(F.col("role") == "comment")))
+    shredded = materialize(shredded.where(F.col("role") == "comment"))
+    full = resolve(bridges(shredded), objects(shredded))
     field_of = lambda name: F.get_json_object("body", f"$.scalars.{name}")
     return full.select(
         "src", "record_id", "occurrence", "parent_occurrence", "parent_pos", "comment_pos", "ordinal", "object_id",
@@ -293,9 +304,9 @@ def comment_rows(shredded: DataFrame) -> DataFrame:
     )
 
 
-def shred_forum(articles: DataFrame, raw_records: DataFrame) -> DataFrame:
+def shred_forum(articles: DataFrame, raw_records: DataFrame, roles: Sequence[str] | None = None) -> DataFrame:
     """Occurrences of both nested sources of the forum in one frame."""
     body = F.to_json(F.struct("paragraph_link", "paragraph_title", "comments", "paragraph_stock_targets"))
-    typed = shred(articles, "articles", F.col("id"), body, lambda value: forum_tree(value, encoded=True))
-    raw = shred(raw_records, "raw_records", F.col("record_id"), F.col("payload"))
+    typed = shred(articles, "articles", F.col("id"), body, lambda value: forum_tree(value, encoded=True), roles)
+    raw = shred(raw_records, "raw_records", F.col("record_id"), F.col("payload"), roles=roles)
     return typed.unionByName(raw)

@@ -8,14 +8,14 @@ from tidemark.operators import nested
 from tidemark.sources.tables import table
 
 
-def _shredded(spark: SparkSession, folder: str) -> DataFrame:
+def _shredded(spark: SparkSession, folder: str, *roles: str) -> DataFrame:
     articles = table(spark, folder, "articles", "id", "paragraph_link", "paragraph_title", "comments", "paragraph_stock_targets")
-    return nested.shred_forum(articles, table(spark, folder, "raw_records", "record_id", "payload"))
+    return nested.shred_forum(articles, table(spark, folder, "raw_records", "record_id", "payload"), roles or None)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each stock target, from bridge rows and the object store."""
-    return nested.target_rows(_shredded(spark, folder))
+    return nested.target_rows(_shredded(spark, folder, *nested.TARGET_ROLES))
 
 
 def p3_objects(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,7 +30,7 @@ def p3_bridges(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_comments(spark: SparkSession, folder: str) -> DataFrame:
     """Flat comments and replies with the keys of their parents."""
-    return nested.comment_rows(_shredded(spark, folder))
+    return nested.comment_rows(_shredded(spark, folder, "comment"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_objects, p3_bridges, p3_comments)}
