@@ -22,8 +22,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from tidemark.functions.collections import json_items
 from tidemark.functions.distance import restricted_distance_col
 from tidemark.llm.forms import fold
 from tidemark.session import materialize
@@ -48,16 +49,9 @@ _LOOSE = re.compile(r"[\s\-_.·]+")
 _fold = lru_cache(70_000)(fold)
 
 
-def elements(column: Column) -> Column:
-    """The list in a JSON text as an array of texts (objects stay JSON); a bare value is a list of one."""
-    text = F.trim(column)
-    listed = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
-    return F.from_json(listed, "array<string>")
-
-
 def typed_values(comments: DataFrame) -> DataFrame:
     """(comment_id, target_pos, value, other) of each element; ``other`` is the value of an object's first pair."""
-    flat = comments.select("comment_id", F.posexplode(elements(F.col("stock_targets"))).alias("target_pos", "item"))
+    flat = comments.select("comment_id", F.posexplode(json_items(F.col("stock_targets"))).alias("target_pos", "item"))
     flat = flat.where("item is not null and item <> ''")
     pair = F.when(F.col("item").startswith("{"), F.from_json("item", "map<string,string>"))
     flat = flat.withColumn("pair", pair).where("pair is null or size(pair) > 0")
