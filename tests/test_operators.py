@@ -101,6 +101,25 @@ def test_batches_and_back(spark, count):
     assert enrich.rewritten(enrich.rewritten(articles, enrich.scored(batches)), enrich.scored(batches.limit(0))).where("id = 1").first().done_analyze is True
 
 
+def test_pending_batches_resume(spark):
+    rows = [(1, None, [comment(i, None, None, i < 10 or i > 20) for i in range(30)], None, False), (2, None, [], None, False), (3, None, None, None, False), (4, None, [comment(0, None)], None, True)]
+    articles, _ = frames(spark, rows)
+    assert sorted((r.id, r.batch, len(r.texts)) for r in enrich.pending(articles, 7).collect()) == [(1, 1, 7), (1, 2, 7)]
+    assert {r.id: (r.comments, r.analysed) for r in enrich.analysed_counts(articles).collect()} == {1: (30, 19), 2: (0, 0), 3: (0, 0), 4: (1, 1)}
+
+
+def test_models_plug_in(spark, tmp_path):
+    items = vectors.collection(frames(spark, [])[1], frames(spark, [])[1], "m")
+    vectors.write_collection(vectors.embedded(items.where("type = 'code'"), lambda texts: [[float(len(t)), 1.0] for t in texts]), str(tmp_path / "v"))
+    vectors.write_collection(vectors.embedded(items.where("type = 'name'"), lambda texts: [[float(len(t)), 1.0] for t in texts]), str(tmp_path / "v"), recreate=False)
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    assert stored.count() == items.count() == 11 and stored.where("no = '0050' and type = 'code'").first().embedding == [4.0, 1.0]
+    texts = spark.createDataFrame([(1, "one two"), (2, None)], "id bigint, t string")
+    extractor = lambda batch: [[("ORG", "one"), ("ORG", "one"), ("GPE", "two"), ("ORG", "none")] if t else [] for t in batch]
+    names = spark.createDataFrame([("one",), ("two",), (None,)], "n string")
+    assert [tuple(r) for r in entities.extracted(texts, "id", "t", extractor, ["ORG", "CARDINAL"], names).collect()] == [(1, "one")]
+
+
 def test_scorer_is_retried_then_fails(spark):
     articles, _ = frames(spark, [(1, None, [comment(0, None)], None, False)])
     with pytest.raises(Exception, match="0 results for 1 comments"):

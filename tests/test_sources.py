@@ -34,6 +34,18 @@ def test_pages(spark):
     assert listing.select(pages.tag_texts(F.col("html"), "a").alias("t")).first().t == ["1", "2"]
 
 
+def test_listing_pages_as_a_data_source(spark, tmp_path):
+    from tidemark.session import share_package
+    from tidemark.sources.live import ListingPages
+
+    for n in (3, 4, 6):
+        (tmp_path / f"index{n}.html").write_text(f"page {n}")
+    share_package(spark)
+    spark.dataSource.register(ListingPages)
+    df = spark.read.format("listing_pages").option("template", f"file://{tmp_path}/index{{page}}.html").option("start", 3).option("end", 7).option("run", 2).load()
+    assert [(r.page, r.status, r.html) for r in df.orderBy("page").collect()] == [(3, "200", "page 3"), (4, "200", "page 4"), (5, "502", None), (6, "200", "page 6")]
+
+
 def test_files(spark, tmp_path):
     targets = spark.createDataFrame([("0050", 'a "quoted", name'), ("00900", None)], "stock_no string, stock_name string")
     files.write_csv(targets, str(tmp_path / "t"))

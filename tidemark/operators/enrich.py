@@ -41,6 +41,21 @@ def batched(articles: DataFrame, size: int = BATCH) -> DataFrame:
     return rows.select("id", "batch", F.transform(part, lambda x: x["pos"]).alias("positions"), F.transform(part, lambda x: x["comment"]).alias("texts"))
 
 
+def pending(articles: DataFrame, size: int = BATCH) -> DataFrame:
+    """The batches that still hold a comment without analysis, so that an interrupted run goes on where it stopped."""
+    held = articles.select("id", "comments")
+    left = F.transform(F.filter(F.transform("comments", lambda c, i: F.struct(i.alias("i"), c["analyzed"].alias("a"))), lambda x: ~F.coalesce(x["a"], F.lit(False))), lambda x: F.floor(x["i"] / size).cast("int"))
+    todo = held.select("id", F.explode(F.array_distinct(left)).alias("batch"))
+    return batched(held, size).join(todo, ["id", "batch"], "left_semi")
+
+
+def analysed_counts(articles: DataFrame) -> DataFrame:
+    """(id, comments, analysed) of each article, counted in place."""
+    done = F.size(F.filter("comments", lambda c: F.coalesce(c["analyzed"], F.lit(False))))
+    zero = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("bigint")
+    return articles.select("id", zero(F.size("comments")).alias("comments"), zero(done).alias("analysed"))
+
+
 def chunks_without_remainder(frame: DataFrame, key: str, pieces: int) -> DataFrame:
     """Rows in ``pieces`` pieces of equal size by order of key; what doesn't fill the last one is dropped, and with fewer
     rows than pieces nothing is left."""

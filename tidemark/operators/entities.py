@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -61,6 +61,23 @@ def exact_tokens(texts: DataFrame, key: str, text: str, names: DataFrame, tokens
     return words.join(listed, "token", "left_semi").select(key, "token")
 
 
+def extracted(texts: DataFrame, key: str, text: str, extractor: Callable[[list[str]], list[list[tuple[str, str]]]], labels: Sequence[str], names: DataFrame) -> DataFrame:
+    """(key, token): spans that an extractor labels so and that are listed names. ``extractor`` is the model: texts in, a
+    list of (label, span) for each out."""
+    wanted = set(labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = extractor([t or "" for t in batch.column(1).to_pylist()])
+            rows = [(i, span) for i, spans in enumerate(found) for span in dict.fromkeys(s for label, s in spans if label in wanted)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in rows], pa.int64())), pa.array([s for _, s in rows], pa.string())], names=[key, "token"])
+
+    column = names.columns[0]
+    listed = names.where(F.col(column).isNotNull()).select(F.col(column).alias("token")).distinct()
+    spans = texts.select(key, text).mapInArrow(run, f"`{key}` {dict(texts.dtypes)[key]}, token string")
+    return spans.join(listed, "token", "left_semi").select(key, "token")
+
+
 def similarity(distance: Column, a: Column, b: Column) -> Column:
     return F.lit(1.0) - distance / F.greatest(F.length(a), F.length(b))
 

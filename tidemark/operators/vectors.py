@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 #: Rows per block; a task holds two blocks and their product.
 BLOCK = 2000
@@ -16,6 +19,24 @@ def collection(codes: DataFrame, names: DataFrame, model: str) -> DataFrame:
     return make(codes, "code", "stock_no").unionByName(make(names, "name", "stock_name")).where("text is not null")
 
 
+def embedded(items: DataFrame, embed: Callable[[list[str]], list[list[float]]], text: str = "text", column: str = "embedding") -> DataFrame:
+    """The items with a vector each. ``embed`` is the model: texts in, as many vectors out; it is called per Arrow batch."""
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def run(texts: pd.Series) -> pd.Series:
+        made = embed(texts.tolist())
+        if len(made) != len(texts):
+            raise ValueError(f"{len(made)} vectors for {len(texts)} texts")
+        return pd.Series(made)
+
+    return items.withColumn(column, run(F.col(text)))
+
+
+def write_collection(items: DataFrame, path: str, recreate: bool = True) -> None:
+    """The vector store: codes recreate it, names are appended."""
+    items.write.mode("overwrite" if recreate else "append").parquet(path)
+
+
 def cosine(a: str, b: str) -> Column:
     """In double precision; null where a vector has length 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -11,7 +11,7 @@ from tidemark.functions import text as T
 from tidemark.functions import times
 from tidemark.operators import dictionary, enrich, entities, mentions, predicates, upsert, vectors
 from tidemark.sources import files, rest
-from tidemark.sources.tables import table
+from tidemark.sources.tables import run_sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -396,6 +396,25 @@ def regroup_identity(spark: SparkSession, folder: str) -> DataFrame:
     return per.select("id", F.transform("l", lambda x: x["t"]).alias("texts"))
 
 
+@query(
+    """SELECT DISTINCT id, CAST((p - 1) // 7 AS INTEGER) AS batch FROM (SELECT id, unnest(comments) AS u, generate_subscripts(comments, 1) AS p FROM articles) WHERE NOT coalesce(u.analyzed, false)"""
+)
+def pending_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of seven that still hold a comment without analysis."""
+    return enrich.pending(table(spark, folder, "articles", "id", "comments"), 7).select("id", "batch")
+
+
+@query("SELECT id, coalesce(len(comments), 0) AS comments, coalesce(len(list_filter(comments, lambda c: c.analyzed)), 0) AS analysed FROM articles")
+def analysed_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return enrich.analysed_counts(table(spark, folder, "articles", "id", "comments"))
+
+
+@query("SELECT stock_no, count(*) AS n FROM targets JOIN nicknames USING (stock_no) GROUP BY stock_no HAVING count(*) > 2")
+def plain_sql(spark: SparkSession, folder: str) -> DataFrame:
+    """A statement handed through as it is."""
+    return run_sql(spark, folder, "SELECT stock_no, count(*) AS n FROM targets JOIN nicknames USING (stock_no) GROUP BY stock_no HAVING count(*) > 2", "targets", "nicknames")
+
+
 def _lexicon_sql(text: str) -> str:
     hits = " + ".join(f"contains({text}, '{w}')::INT" for w in enrich.BULLISH) + " - " + " - ".join(f"contains({text}, '{w}')::INT" for w in enrich.BEARISH)
     return f"greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ({hits}) / 4.0::DOUBLE))"
