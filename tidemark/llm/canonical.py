@@ -37,8 +37,8 @@ MAX_EDITS = 1
 SHORT, SHORT_THRESHOLD = 5, 0.25
 CODE, NAME, NICKNAME, NICKNAME_FOLDED = "code", "name", "nickname", "nickname_folded"
 
-# Simplified characters and their traditional forms, as far as names use them.
-SIMPLIFIED = "网网电電萤螢铃鈴鹭鷺鸽鴿锚錨枫楓枣棗驼駝鹊鵲箫簫鳟鱒蝉蟬钵缽鲭鯖瓮甕峦巒涧澗优優选選铎鐸莺鶯鲤鯉鳗鰻鲈鱸鸢鳶鹳鸛鹤鶴宝寶导導实實业業强強东東华華国國际際通通证證权權控控贝貝债債龙龍马馬鸟鳥鱼魚风風云雲汉漢湾灣台台万萬义義书書买買卖賣亚亞产產亿億从從仓倉众眾会會传傳伤傷伦倫伟偉体體关關兴興养養农農冲沖决決净淨准準凤鳳凯凱刘劉则則创創别別办辦务務动動劳勞势勢医醫单單卫衛厂廠历歷县縣参參双雙发發变變号號叶葉吴吳员員响響园園围圍图圖圆圓场場块塊坚堅声聲处處备備复復头頭奖獎孙孫学學宁寧审審宾賓对對寿壽将將尔爾层層岛島岚嵐币幣带帶库庫应應开開张張录錄归歸忆憶怀懷态態总總战戰户戶执執扬揚报報择擇据據换換损損数數断斷无無旧舊时時显顯机機杂雜条條来來杨楊极極构構标標树樹桥橋检檢楼樓欢歡气氣济濟浓濃润潤涨漲渔漁温溫满滿滨濱灵靈炉爐点點热熱烟煙爱愛独獨环環现現玛瑪琼瓊画畫疗療盐鹽监監盘盤码碼础礎确確离離种種积積称稱稳穩穷窮笔筆筑築签簽简簡类類粮糧级級纸紙纳納纯純线線组組织織终終经經结結绿綠缘緣罗羅联聯职職肤膚胜勝脑腦节節苏蘇范範荐薦药藥获獲莱萊营營蓝藍补補装裝见見规規视視览覽计計认認讯訊设設访訪评評词詞译譯试試诚誠语語说說请請诺諾课課谊誼谷穀贤賢财財货貨质質购購贸貿费費资資赛賽赢贏轮輪软軟载載辉輝边邊达達迁遷过過运運还還进進远遠连連邓鄧邮郵郑鄭释釋银銀销銷锋鋒锐銳错錯键鍵镇鎮长長门門问問闻聞阳陽阴陰阶階际際陆陸陈陳险險难難雾霧静靜韩韓页頁项項顺順须須顾顧预預领領频頻题題颜顏饭飯饮飲馆館驱驅验驗骏駿鸡雞鸿鴻麦麥黄黃齐齊齿齒鸥鷗榈櫚橹櫓柠檸豹豹泽澤钟鐘钢鋼铁鐵铜銅锡錫镍鎳锌鋅钛鈦矿礦弹彈灯燈礼禮胶膠乐樂蕴蘊帧幀笺箋檐簷荛蕘芜蕪莳蒔蔼藹霭靄霁霽芦蘆苇葦骆駱琅瑯筝箏篮籃鹦鸚鹉鵡鸠鳩鹫鷲鸬鸕鹰鷹鸦鴉鹃鵑鲸鯨鲨鯊鲍鮑鳄鱷鲑鮭鳕鱈鲔鮪狮獅猎獵猫貓獭獺龟龜驴驢骥驥钰鈺铭銘锦錦镜鏡链鏈砾礫砚硯硕碩矶磯绫綾纱紗绸綢绢絹缎緞"
+# Simplified characters common in names, each before its traditional form.
+SIMPLIFIED = "网網电電萤螢铃鈴鹭鷺鸽鴿锚錨枫楓枣棗驼駝鹊鵲箫簫鳟鱒蝉蟬钵缽鲭鯖瓮甕峦巒涧澗优優选選铎鐸莺鶯鲤鯉鳗鰻鲈鱸鸢鳶鹳鸛鹤鶴导導实實业業强強东東华華国國证證权權债債龙龍马馬鸟鳥鱼魚风風云雲汉漢湾灣万萬义義亚亞产產伟偉关關兴興农農创創动動医醫厂廠发發园園场場坚堅宁寧宝寶宾賓寿壽层層岛島屿嶼岚嵐开開无無时時显顯机機杨楊极極构構标標树樹桥橋楼樓欢歡气氣济濟润潤涨漲渔漁温溫满滿滨濱灵靈炉爐点點热熱环環现現玛瑪琼瓊盘盤码碼础礎离離积積稳穩笔筆简簡粮糧纸紙纳納线線组組织織经經结結绿綠罗羅联聯药藥莱萊营營蓝藍讯訊设設谷穀贝貝财財货貨质質贸貿资資车車轮輪软軟辉輝达達运運远遠连連郑鄭银銀销銷锋鋒锐銳长長门門间間闻聞阳陽陈陳雾霧韩韓顺順飞飛驰馳骏駿鸡雞鸿鴻麦麥黄黃齐齊龟龜鸥鷗"
 _TRADITIONAL = {ord(a): b for a, b in zip(SIMPLIFIED[::2], SIMPLIFIED[1::2])}
 # Words round a name or code, particles after one.
 _COMPANY = ("股份有限公司", "有限公司", "公司")
