@@ -46,6 +46,14 @@ def test_pairs_and_shares_equal_brute_force(spark, hot):
     assert total == {i: c for i, c in shares.items() if c}
 
 
+def test_long_runs_are_split(spark, monkeypatch):
+    bucket, first, last = spans.super_kmers("啊" * 3000, 100, 40)
+    assert len(set(bucket.tolist())) == 1 and (last - first).max() + 1 == spans.LONGEST_RUN and last[-1] == 2900 and (first[1:] == last[:-1] + 1).all()
+    df = spark.createDataFrame([(1, "啊" * 30_000), (2, "哦" + "啊" * 2000)], "doc_id bigint, text string")
+    assert [tuple(r) for r in spans.shared_pairs(df, hot=1000).collect()] == [(1, 2)]
+    assert {r.doc_id: r.shared_chars for r in spans.document_shares(df).collect()} == {1: 30_000, 2: 2000}
+
+
 def test_minimum_and_runs():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 1000, 300).astype(np.uint64)

@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.batches import parts
+
 #: Where the public vocabulary files lie; a parameter of every operator below.
 TOKENIZER_DIR = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
 DEFAULT = "byte_bpe_50k"
@@ -205,8 +207,7 @@ def encoded(frame: DataFrame, key: Column, text: Column, name: str = DEFAULT, fo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(name, folder).encode
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for part in parts(batch, 1, 1000):
                 ids = [encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 

@@ -4,8 +4,8 @@ Every window of ``SPAN`` code points has a minimiser, the smallest hash among it
 minimiser travel as one packed string to that minimiser's bucket; equal windows always meet, as they have equal
 minimisers. In the bucket the windows are sorted, so equal ones stand together and are counted exactly.
 
-Only buckets that two different texts reach are packed at all: positions go first, strings after. A bucket that more
-than ``HOT_BUCKET`` strings reach isn't given to one task; its windows are spread one by one by their own hash, with the
+Only buckets that two different texts reach are packed at all: positions go first, strings after. A bucket with more
+than ``HOT_BUCKET`` windows isn't given to one task; its windows are spread one by one by their own hash, with the
 same result. Equal texts are worked on once and expanded at the end.
 
 Defined results: null texts and texts shorter than the span share nothing; a text with a copy is shared in full; spans
@@ -21,10 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.batches import parts
+
 SPAN = 100
 #: Length of the grams whose smallest hash names the bucket: long, so that phrases of a genre don't share buckets.
 GRAM = 40
-HOT_BUCKET = 1000
+#: The most windows that a bucket's task sorts at once, and the most in one string.
+HOT_BUCKET = 50_000
+LONGEST_RUN = 500
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _MATCHES = "k_a binary, k_b binary, k binary, start int, stop int"
@@ -74,9 +78,14 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def super_kmers(text: str, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, first window, last window) of each maximal run of windows with one minimiser."""
+    """(bucket, first window, last window) of each run of windows with one minimiser; a run of more than ``LONGEST_RUN``
+    windows, as repetitive texts have, goes in several strings."""
     least = sliding_min(gram_hashes(text, gram), span - gram + 1)
-    first = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
+    cut = least[1:] != least[:-1]
+    first = np.r_[0, np.flatnonzero(cut) + 1]
+    if np.diff(np.r_[first, len(least)]).max() > LONGEST_RUN:
+        since = np.arange(len(least)) - np.repeat(first, np.diff(np.r_[first, len(least)]))
+        first = np.flatnonzero(since % LONGEST_RUN == 0)
     last = np.r_[first[1:] - 1, len(least) - 1]
     return least[first].view(np.int64), first.astype(np.int32), last.astype(np.int32)
 
@@ -84,17 +93,30 @@ def super_kmers(text: str, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarr
 def _runs(texts: DataFrame, span: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in parts(batch, 1, 500):
                 made = [super_kmers(t, span, gram) for t in part.column(1).to_pylist()]
-                if made:
-                    keys = part.column(0).take(pa.array(np.repeat(np.arange(len(made)), [len(b) for b, _, _ in made])))
-                    cols = [np.concatenate(c) for c in zip(*made)]
-                    yield pa.RecordBatch.from_arrays([keys, *map(pa.array, cols)], names=["k", "bucket", "start", "stop"])
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(len(made)), [len(b) for b, _, _ in made])))
+                cols = [np.concatenate(c) for c in zip(*made)]
+                yield pa.RecordBatch.from_arrays([keys, *map(pa.array, cols)], names=["k", "bucket", "start", "stop"])
 
     return texts.select("k", "text").mapInArrow(run, _RUNS)
 
 
+def _pack(span: int):
+    """The packed strings of the runs that are kept, cut out of their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, 1, 500):
+                texts, runs = part.column(1).to_pylist(), part.column(2)
+                bucket, n, start, stop = runs.flatten().flatten()
+                owner = np.repeat(np.arange(len(texts)), runs.value_lengths().to_numpy())
+                seqs = [texts[o][a : b + span] for o, a, b in zip(owner, start.to_numpy().tolist(), stop.to_numpy().tolist())]
+                yield pa.RecordBatch.from_arrays([bucket, n, part.column(0).take(pa.array(owner)), start, pa.array(seqs, pa.string())], names=["bucket", "n", "k", "start", "seq"])
+
+    return run
+
+
 def bucket_matches(rows: list[tuple[bytes, int, str]], span: int) -> tuple[set[tuple[bytes, bytes]], list[tuple[bytes, int, int]]]:
     """(text key, first window, packed string) of one bucket: pairs of texts with an equal window, and shared stretches."""
     windows = sorted((seq[i : i + span], k, start + i) for k, start, seq in rows for i in range(len(seq) - span + 1))
@@ -164,13 +186,9 @@ def distinct_texts(documents: DataFrame, span: int = SPAN) -> DataFrame:
 def matches(texts: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT_BUCKET) -> DataFrame:
     """Rows of two kinds: (k_a, k_b) pairs of texts that share a span, and (k, start, stop) shared stretches of a text."""
     runs = _runs(texts, span, gram)
-    reached = runs.groupBy("bucket").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
+    reached = runs.groupBy("bucket").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum(F.col("stop") - F.col("start") + 1).alias("n")).where("lo < hi").select("bucket", "n")
     kept = runs.join(reached, "bucket").groupBy("k").agg(F.collect_list(F.struct("bucket", "n", "start", "stop")).alias("runs"))
-    packed = texts.join(kept, "k").select("k", "text", F.explode("runs").alias("r"))
-    packed = packed.select(
-        F.col("r.bucket").alias("bucket"), F.col("r.n").alias("n"), "k", F.col("r.start").alias("start"),
-        F.expr(f"substring(text, r.start + 1, r.stop - r.start + {span})").alias("seq"),
-    )
+    packed = texts.join(kept, "k").select("k", "text", "runs").mapInArrow(_pack(span), "bucket bigint, n bigint, k binary, start int, seq string")
     usual = packed.where(F.col("n") <= hot).select("bucket", "k", "start", "seq")
     usual = usual.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(span), _MATCHES)
     return usual.unionByName(_hot_matches(packed.where(F.col("n") > hot), span))
