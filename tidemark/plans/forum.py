@@ -116,7 +116,7 @@ def bearish_top10(spark: SparkSession, folder: str) -> DataFrame:
     _MENTIONS
     + ", best AS (" + _MOOD.format("DESC") + """),
 ranked AS (SELECT mention.stock_no, id, pos, sent_c, row_number() OVER (PARTITION BY mention.stock_no ORDER BY abs(sent_c) DESC, id, pos) AS rank FROM mention JOIN best USING (stock_no))
-SELECT stock_no, rank, ranked.id AS id, ranked.pos AS pos, u.comment AS comment, sent_c FROM ranked JOIN c ON ranked.id = c.id AND ranked.pos = c.u.pos WHERE rank <= 3"""
+SELECT stock_no, CAST(rank AS INTEGER) AS rank, ranked.id AS id, ranked.pos AS pos, u.comment AS comment, sent_c FROM ranked JOIN c ON ranked.id = c.id AND ranked.pos = c.u.pos WHERE rank <= 3"""
 )
 def bullish_comments(spark: SparkSession, folder: str) -> DataFrame:
     """The strongest comments behind the bullish ranking."""
