@@ -54,6 +54,19 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(paragraph_published_time" in plan and "EqualTo(done_analyze,true)" in plan
 
 
+def test_scans_read_only_the_comment_fields_they_need(spark, tmp_path):
+    articles, targets = frames(spark, [(1, datetime(2024, 1, 1), [comment(0, '"one"', 0.5)], {"2": "two"}, True)])
+    articles.write.parquet(str(tmp_path / "a"))
+    stored = spark.read.parquet(str(tmp_path / "a"))
+    schema = lambda df: df._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1].splitlines()[0]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    overview = schema(mentions.market_overview(stored, targets))
+    assert "stock_targets" in overview and "comment:" not in overview and "commenter" not in overview
+    assert "comment:" not in schema(mentions.rolling_windows(stored)) and "stock_targets" not in schema(enrich.batched(stored))
+    plan = mentions.mentions(stored, targets)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan.split("Project")[0] and plan.count("FileScan") == 1
+
+
 def test_insert_or_ignore(spark):
     stored = spark.createDataFrame([("1", "a"), ("2", "b")], "k string, v string")
     batch = spark.createDataFrame([("2", "new", 1), ("3", "first", 1), ("3", "second", 2), (None, "x", 1)], "k string, v string, seq int")

@@ -34,26 +34,26 @@ def lexicon_scorer(texts: list[str]) -> list[tuple[float, list[str]]]:
 
 def batched(articles: DataFrame, size: int = BATCH) -> DataFrame:
     """(id, batch, positions, texts): comments of each article in batches by position. Arrays only, no shuffle."""
-    items = F.transform("comments", lambda c, i: F.struct(i.cast("int").alias("pos"), c["comment"].alias("comment")))
-    count = F.ceil(F.size("comments") / size).cast("int")
-    rows = articles.where(F.size("comments") > 0).select("id", items.alias("items"), F.explode(F.sequence(F.lit(0), count - 1)).alias("batch"))
-    part = F.slice("items", F.col("batch") * size + 1, F.lit(size))
-    return rows.select("id", "batch", F.transform(part, lambda x: x["pos"]).alias("positions"), F.transform(part, lambda x: x["comment"]).alias("texts"))
+    texts = F.col("comments.comment")  # one field of the list, so a scan reads no other
+    count = F.ceil(F.size(texts) / size).cast("int")
+    rows = articles.where(F.size(texts) > 0).select("id", texts.alias("texts"), F.explode(F.sequence(F.lit(0), count - 1)).alias("batch"))
+    first = F.col("batch") * size
+    part = F.slice("texts", first + 1, F.lit(size))
+    return rows.select("id", "batch", F.sequence(first, first + F.size(part) - 1).alias("positions"), part.alias("texts"))
 
 
 def pending(articles: DataFrame, size: int = BATCH) -> DataFrame:
     """The batches that still hold a comment without analysis, so that an interrupted run goes on where it stopped."""
-    held = articles.select("id", "comments")
-    left = F.transform(F.filter(F.transform("comments", lambda c, i: F.struct(i.alias("i"), c["analyzed"].alias("a"))), lambda x: ~F.coalesce(x["a"], F.lit(False))), lambda x: F.floor(x["i"] / size).cast("int"))
-    todo = held.select("id", F.explode(F.array_distinct(left)).alias("batch"))
-    return batched(held, size).join(todo, ["id", "batch"], "left_semi")
+    open_at = F.transform(F.col("comments.analyzed"), lambda a, i: F.when(~F.coalesce(a, F.lit(False)), F.floor(i / size).cast("int")))
+    todo = articles.select("id", F.explode(F.array_distinct(F.array_compact(open_at))).alias("batch"))
+    return batched(articles, size).join(todo, ["id", "batch"], "left_semi")
 
 
 def analysed_counts(articles: DataFrame) -> DataFrame:
     """(id, comments, analysed) of each article, counted in place."""
-    done = F.size(F.filter("comments", lambda c: F.coalesce(c["analyzed"], F.lit(False))))
+    done = F.size(F.filter(F.col("comments.analyzed"), lambda a: F.coalesce(a, F.lit(False))))
     zero = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("bigint")
-    return articles.select("id", zero(F.size("comments")).alias("comments"), zero(done).alias("analysed"))
+    return articles.select("id", zero(F.size("comments.analyzed")).alias("comments"), zero(done).alias("analysed"))
 
 
 def chunks_without_remainder(frame: DataFrame, key: str, pieces: int) -> DataFrame:

@@ -9,6 +9,8 @@ Sums are over whole hundredths, so they don't depend on the order of rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.collections import first_pair, json_items, ordered_entries
@@ -19,12 +21,11 @@ def hundredths(sentiment: Column) -> Column:
     return F.round(F.coalesce(F.nanvl(sentiment, F.lit(0.0)), F.lit(0.0)) * 100).cast("bigint")
 
 
-def exploded(articles: DataFrame) -> DataFrame:
-    """One row per comment inside its article, with the article's key, time and targets."""
-    return articles.select("id", "paragraph_published_time", "paragraph_stock_targets", F.explode("comments").alias("c")).select(
-        "id", "paragraph_published_time", "paragraph_stock_targets", F.col("c.pos").alias("pos"), F.col("c.comment").alias("comment"), F.col("c.comment_score").alias("comment_score"),
-        F.col("c.commenter").alias("commenter"), F.col("c.stock_sentiment").alias("stock_sentiment"), F.col("c.stock_targets").alias("stock_targets"),
-    )
+def exploded(articles: DataFrame, fields: Sequence[str], *columns: str) -> DataFrame:
+    """One row per comment: columns of the article and the named fields of the comment. Fields are taken out of the list
+    one by one before it is exploded, so that a scan reads no others."""
+    zipped = F.arrays_zip(*[F.col(f"comments.{f}").alias(f) for f in fields])
+    return articles.select("id", *columns, F.explode(zipped).alias("c")).select("id", *columns, *[F.col(f"c.{f}").alias(f) for f in fields])
 
 
 def typed_targets(frame: DataFrame, *keys: str) -> DataFrame:
@@ -46,18 +47,41 @@ def resolved_targets(frame: DataFrame, targets: DataFrame, *keys: str) -> DataFr
     return found.where("stock_no is not null").select(*keys, "target_pos", "stock_no", "stock_name")
 
 
+def _candidates(stock_targets: Column, above: Column) -> Column:
+    """What a comment may mention as one list of (ord, token, other, name, own): its own targets in order, then the
+    article's in stored order."""
+    own = F.filter(json_items(stock_targets), lambda x: x.isNotNull() & (x != ""))
+    own = F.transform(own, lambda x, i: F.struct(i.alias("i"), x.alias("item"), first_pair(x).alias("pair")))
+    own = F.filter(own, lambda x: x["pair"].isNotNull() | ~x["item"].startswith("{"))
+    none = F.lit(None).cast("string")
+    own = F.transform(own, lambda x: F.struct(x["i"].alias("ord"), F.coalesce(x["pair"]["key"], x["item"]).alias("token"), x["pair"]["value"].alias("other"), none.alias("name"), F.lit(1).alias("own")))
+    given = F.transform(ordered_entries(above), lambda e, i: F.struct((i + 1_000_000).alias("ord"), e["key"].alias("token"), none.alias("other"), e["value"].alias("name"), F.lit(0).alias("own")))
+    empty = F.array().cast("array<struct<ord:int,token:string,other:string,name:string,own:int>>")
+    return F.concat(F.coalesce(own, empty), F.coalesce(given, empty))
+
+
 def mentions(articles: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per comment and stock: id, pos, time, stock_no, stock_name, sent_c, ord, own, inherited."""
-    comments = exploded(articles).select("id", "pos", "paragraph_published_time", hundredths(F.col("stock_sentiment")).alias("sent_c"), "stock_targets", "paragraph_stock_targets")
-    keys = ("id", "pos", "paragraph_published_time", "sent_c")
-    own = resolved_targets(comments, targets, *keys).select(*keys, "stock_no", "stock_name", F.col("target_pos").alias("ord"), F.lit(1).alias("own"))
-    above = comments.select(*keys, F.posexplode(ordered_entries(F.col("paragraph_stock_targets"))).alias("i", "e"))
-    above = above.select(*keys, F.col("e.key").alias("stock_no"), F.col("e.value").alias("stock_name"), (F.lit(1_000_000) + F.col("i")).alias("ord"), F.lit(0).alias("own"))
-    both = own.unionByName(above)
-    return both.groupBy(*keys, "stock_no").agg(
-        F.max_by("stock_name", F.struct((1 - F.col("own")).alias("a"), F.col("ord").alias("b"))).alias("stock_name"), F.min("ord").alias("ord"),
-        F.max("own").alias("own"), F.max(1 - F.col("own")).alias("inherited"),
-    )
+    """One row per comment and stock: id, pos, paragraph_published_time, sent_c, stock_no, stock_name, ord, own, inherited.
+
+    One pass over the articles; both joins are with the reference list, and the only shuffle is that of the dedupe, which
+    is a hash aggregate: equal stocks of a comment have equal names by then, as the article's name is put in beforehand.
+    """
+    time, above = "paragraph_published_time", "paragraph_stock_targets"
+    rows = exploded(articles, ("pos", "stock_sentiment", "stock_targets"), time, above)
+    rows = rows.select("id", "pos", time, hundredths(F.col("stock_sentiment")).alias("sent_c"), above, F.explode(_candidates(F.col("stock_targets"), F.col(above))).alias("m"))
+    # Keys are never null, so that without a broadcast no task would get all rows that have none.
+    rows = rows.withColumns({"token": F.col("m.token"), "other": F.coalesce("m.other", "m.token")})
+    lookup = small(token_lookup(targets))
+    a = lookup.select("token", F.col("stock_no").alias("no_a"), F.col("stock_name").alias("name_a"))
+    b = lookup.select(F.col("token").alias("other"), F.col("stock_no").alias("no_b"), F.col("stock_name").alias("name_b"))
+    rows = rows.join(a, "token", "left").join(b, "other", "left")
+    named = F.col("no_a").isNotNull()
+    stock = F.when(F.col("m.own") == 0, F.col("token")).when(named, F.col("no_a")).otherwise(F.col("no_b"))
+    rows = rows.withColumn("stock_no", stock).where(F.col("stock_no").isNotNull())
+    given = F.coalesce(F.map_contains_key(above, F.col("stock_no")), F.lit(False))
+    name = F.when(given, F.try_element_at(above, F.col("stock_no"))).when(named, F.col("name_a")).otherwise(F.col("name_b"))
+    keys = ("id", "pos", time, "sent_c", "stock_no", "stock_name")
+    return rows.withColumn("stock_name", name).groupBy(*keys).agg(F.min("m.ord").alias("ord"), F.max("m.own").alias("own"), F.max(1 - F.col("m.own")).alias("inherited"))
 
 
 def market_overview(articles: DataFrame, targets: DataFrame, exclude: tuple[str, ...] = (), top: int = 20) -> DataFrame:
@@ -102,14 +126,14 @@ def mood_ranking(articles: DataFrame, targets: DataFrame, bullish: bool, top: in
 def supporting_comments(articles: DataFrame, targets: DataFrame, stocks: DataFrame, each: int = 3) -> DataFrame:
     """For each stock of a ranking, its strongest comments: top ``each`` by distance of sentiment from 0."""
     found = mentions(articles, targets).join(F.broadcast(stocks.select("stock_no")), "stock_no")
-    texts = exploded(articles).select("id", "pos", "comment")
+    texts = exploded(articles, ("pos", "comment"))
     ranked = found.withColumn("rank", F.expr("row_number() over (partition by stock_no order by abs(sent_c) desc, id, pos)")).where(F.col("rank") <= each)
     return ranked.join(texts, ["id", "pos"]).select("stock_no", "rank", "id", "pos", "comment", "sent_c")
 
 
 def most_pushed(articles: DataFrame, top: int = 10) -> DataFrame:
     """The articles with most pushes; computed in place on the comment list, no explode or shuffle before the top-k."""
-    pushes = F.size(F.filter("comments", lambda c: c["comment_score"] > 0)).cast("bigint")
+    pushes = F.size(F.filter(F.col("comments.comment_score"), lambda s: s > 0)).cast("bigint")
     return articles.select("id", "paragraph_title", F.greatest(F.coalesce(pushes, F.lit(0)), F.lit(0)).alias("pushes")).orderBy(F.desc("pushes"), "id").limit(top)
 
 
@@ -124,7 +148,7 @@ def commenter_stats(comments: DataFrame, top: int = 10) -> DataFrame:
 def rolling_windows(articles: DataFrame, days: tuple[int, ...] = (1, 15, 30)) -> DataFrame:
     """Articles and comments of the last 1, 15 and 30 days before the newest article, in one pass after the maximum."""
     newest = articles.agg(F.max("paragraph_published_time")).scalar()
-    sized = articles.select("paragraph_published_time", F.greatest(F.size("comments"), F.lit(0)).alias("n"))
+    sized = articles.select("paragraph_published_time", F.greatest(F.size("comments.pos"), F.lit(0)).alias("n"))
     rows = sized.select("*", F.explode(F.array(*[F.lit(d) for d in days])).alias("days"))
     inside = rows.where(F.col("paragraph_published_time") > newest - F.make_dt_interval("days"))
     return inside.groupBy("days").agg(F.count("*").alias("articles"), F.sum("n").alias("comments"))

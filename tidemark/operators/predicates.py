@@ -53,7 +53,7 @@ def without_prefix(frame: DataFrame, column: str, prefix: str) -> DataFrame:
 
 def all_analysed(comments: Column) -> Column:
     """Every comment of the list is analysed; true for an empty list, null for none."""
-    return F.forall(comments, lambda c: F.coalesce(c["analyzed"], F.lit(False)))
+    return F.forall(comments["analyzed"], lambda a: F.coalesce(a, F.lit(False)))
 
 
 def page(frame: DataFrame, number: int, size: int = 10, key: str = "id") -> DataFrame:

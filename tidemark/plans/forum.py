@@ -503,7 +503,7 @@ def token_count(spark: SparkSession, folder: str) -> DataFrame:
 )
 def comments_token_count(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of all comments of an article, 0 for none, without exploding them."""
-    total = F.aggregate("comments", F.lit(0).cast("bigint"), lambda acc, c: acc + T.token_count(c["comment"]))
+    total = F.aggregate("comments.comment", F.lit(0).cast("bigint"), lambda acc, c: acc + T.token_count(c))
     return table(spark, folder, "articles", "id", "comments").select("id", F.coalesce(total, F.lit(0)).alias("tokens"))
 
 
