@@ -103,8 +103,8 @@ def fuzzy_pairs(tokens: DataFrame, entries: DataFrame, thresholds: dict[str, flo
     start = F.expr("cast(floor(i * n / pieces) as int)")
     stop = F.expr("cast(floor((i + 1) * n / pieces) as int)")
     spread = spread.withColumns({"at": start, "piece": F.col("entry").substr(start + 1, stop - start)})
-    bounds = spread.select(F.length("piece").alias("size")).distinct()
-    grams = words.join(F.broadcast(bounds), F.length("token") >= F.col("size")).select(
+    sizes = spread.agg(F.array_sort(F.collect_set(F.length("piece")))).scalar()  # at most as many as an entry is long
+    grams = words.withColumn("sizes", sizes).select("token", F.explode("sizes").alias("size")).where(F.length("token") >= F.col("size")).select(
         "token", F.explode(F.expr("transform(sequence(0, length(token) - size), j -> struct(j as j, substring(token, j + 1, size) as piece))")).alias("g")
     ).select("token", F.col("g.j").alias("j"), F.col("g.piece").alias("piece"))
     near = spread.join(grams, "piece").where("abs(at - j) <= edits")
