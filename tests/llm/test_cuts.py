@@ -67,3 +67,22 @@ def test_contexts_do_not_depend_on_the_batch():
         alone, end = made.of([text])
         if ends[i] >= 0:
             assert [h[ends[i]] for h in together] == [h[end[0]] for h in alone]
+
+
+def lengths(seed, n, mean=3.0, deviation=0.5):
+    return np.exp(np.random.default_rng(seed).normal(mean, deviation, n)).astype(int) + 1
+
+
+def unit_hist(sizes):
+    import pandas as pd
+
+    seen, n = np.unique(sizes, return_counts=True)
+    return pd.DataFrame({"unit": "chars", "size": seen, "broken": False, "n": n})
+
+
+def test_a_limit_in_the_body_needs_no_fourfold_spike():
+    true = lengths(1, 1220, 2.6, 0.25)
+    found = cuts.find_limits(unit_hist(np.minimum(true, 22)))
+    assert [f[:2] for f in found] == [("chars", 22)]
+    assert (true == 22).sum() * 4 > (true >= 22).sum()  # no spike of four times the expected
+    assert abs(found[0][2] - (true > 22).sum() / (true >= 22).sum()) < 0.15

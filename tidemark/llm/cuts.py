@@ -4,7 +4,7 @@ Two kinds of evidence are combined in one posterior per row:
 
 * Length. Per source, a mixture of lognormals is fitted to the lengths by maximum likelihood, with the values at a
   candidate limit right-censored (EM on the histogram of lengths, in code points and in UTF-8 bytes). A limit is a length
-  that holds far more rows than the density gives it and beyond which far fewer lie. A row at a limit is censored with
+  that the censored fit explains far better than the uncensored one, and than rows of its own there would. A row at a limit is censored with
   probability 1 - expected / observed; elsewhere ``MID_TRANSFER`` is the prior of a cut.
 * Ending. Over all texts it is counted how often each context (the last 1 to 9 symbols) is followed by more text and how
   often the text ends there. Numbers are one symbol, names of the reference list another, begun names a third. The
@@ -18,7 +18,7 @@ null. Statistics are over distinct texts, so copies of a cut text don't vouch fo
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import erf, log, pi, sqrt
+from math import erf, erfc, log, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -42,8 +42,10 @@ CUT_ENDS = 0.01
 #: A cut text is fetched again once or twice; a text with more copies is a phrase, and they count as ends.
 REFETCHED = 3
 OPEN_BRACKET = 100.0
-#: A limit holds at least so many rows, so many times the expected, and at most this share of the expected lies beyond.
-LIMIT_ROWS, LIMIT_EXCESS, LIMIT_BEYOND = 5, 4.0, 0.1
+#: What the log-likelihood gains by a limit at least (and so many times the spread around the fit, more where a limit
+#: holds a part of the longer rows only), what it gains where broken characters prove it, and the least part a limit
+#: holds. Phrases and templates make small steps everywhere, so a limit that holds fewer isn't told from them.
+LIMIT_GAIN, PROVEN_GAIN, LIMIT_HELD = 15.0, 10.0, 0.2
 COMPONENTS, ROUNDS = 3, 60
 #: Names taken as one symbol; a longer list isn't shipped to workers, its names are then plain characters.
 MAX_NAMES = 100_000
@@ -97,46 +99,156 @@ def _mass(fit: tuple, low: float, high: float) -> float:
     return float((w * ((1.0 if high == np.inf else cdf(high)) - cdf(low))).sum())
 
 
+_erfc = np.vectorize(erfc, otypes=[float])
+
+
+def _fits(x: np.ndarray, n: np.ndarray, at: np.ndarray, spike: np.ndarray | None = None) -> tuple:
+    """Many fits at once: log-likelihoods, expected genuine rows of each size (C, sizes), shares held.
+
+    n (C, sizes): rows of each size; at (C, K): places of the limits. Of the genuine rows longer than a limit the share
+    ``held``, which is fitted too, stands at the limit. ``spike``: place of a size that has rows of its own besides.
+    """
+    count, k, rows, each = len(n), at.shape[1], np.arange(len(n))[:, None], np.arange(len(n))
+    lx, width, edge, total = np.log(x), np.log((x + 0.5) / (x - 0.5)), np.log(x + 0.5), n.sum(1)
+    deviation = max(0.2, sqrt(np.average((lx - np.average(lx, weights=n[0])) ** 2, weights=n[0])))
+    m = np.tile(np.interp(np.linspace(0.15, 0.85, COMPONENTS), np.cumsum(n[0]) / n[0].sum(), lx), (count, 1))
+    w, s = np.full((count, COMPONENTS), 1 / COMPONENTS), np.full((count, COMPONENTS), deviation)
+    here, beyond = n[rows, at], total[:, None] - np.cumsum(n, 1)[rows, at]
+    held, own = np.full((count, k), 0.5), np.full(count, 0.01 if spike is not None else 0.0)
+    for turn in range(ROUNDS + 1):
+        parts_ = np.exp(-(((lx[None, :, None] - m[:, None]) / s[:, None]) ** 2) / 2) / (s[:, None] * sqrt(2 * pi)) * width[None, :, None] * w[:, None] + 1e-300
+        f = parts_.sum(2)
+        z = (edge[at][:, :, None] - m[:, None]) / s[:, None]
+        tail = np.maximum(1e-12, 0.5 * _erfc(z / sqrt(2))) if k else np.ones_like(z)
+        over = w[:, None] * tail
+        past = over.sum(2)
+        mixed = f[rows, at] + held * past
+        if turn == ROUNDS:
+            break
+        cut = here * held * past / mixed
+        genuine = n.copy()
+        genuine[rows, at] -= cut
+        if spike is not None:
+            extra = n[each, spike] * own / ((1 - own) * f[each, spike] + own)
+            genuine[each, spike] -= extra
+            own = np.minimum(0.99, extra / total)
+        held = np.clip(cut / np.maximum(1e-9, cut + beyond), 1e-6, 1 - 1e-6)
+        r, rc = parts_ / f[:, :, None] * genuine[:, :, None], over / past[:, :, None] * cut[:, :, None]
+        hazard = np.exp(-z * z / 2) / sqrt(2 * pi) / tail
+        mean = m[:, None] + s[:, None] * hazard
+        second = mean**2 + (s * s)[:, None] * np.maximum(0.05, 1 + z * hazard - hazard**2)
+        size = r.sum(1) + rc.sum(1) + 1e-9
+        m = ((r * lx[None, :, None]).sum(1) + (rc * mean).sum(1)) / size
+        s = np.sqrt(np.maximum(0.01, ((r * lx[None, :, None] ** 2).sum(1) + (rc * second).sum(1)) / size - m * m))
+        w = size / size.sum(1, keepdims=True)
+    kept = np.prod(np.where(np.arange(len(x))[None, :, None] > at[:, None, :], 1 - held[:, None, :], 1.0), axis=2)
+    like = f.copy()
+    like[rows, at] = mixed
+    like *= kept
+    if spike is not None:
+        like *= (1 - own)[:, None]
+        like[each, spike] += own
+    return (n * np.log(np.maximum(like, 1e-300))).sum(1), total[:, None] * f * kept, held
+
+
+def _unit_limits(whole: pd.Series, broken: pd.Series) -> list[tuple[float, int, float]]:
+    """(gain, limit, share) of one unit, from the rows of each size; ``broken`` ones end in a broken character."""
+    x = np.array(sorted({int(v) for v in whole.index} | {int(v) + d for v in broken.index for d in (1, 2, 3)}))
+    if not len(x):
+        return []
+    place = {v: i for i, v in enumerate(x.tolist())}
+    plain, torn = np.zeros(len(x)), np.zeros((len(x), 3))
+    for v, c in whole.items():
+        plain[place[int(v)]] += c
+    for v, c in broken.items():  # at a limit the broken character counts as whole
+        for d in (1, 2, 3):
+            torn[place[int(v) + d], d - 1] += c
+
+    def counts(limits: list[int]) -> np.ndarray:
+        n = plain.copy()
+        for v, c in broken.items():
+            n[next((i for i in limits if 1 <= x[i] - v <= 3), place[int(v) + 1])] += c
+        return n
+
+    found: list[tuple[float, int]] = []
+    sizes = x.astype(float)
+    while True:
+        have = [i for _, i in found]
+        best = None
+        seen_at = plain + torn.sum(1)
+        frequent = sorted(range(len(x)), key=lambda v: -seen_at[v])[:12]
+        rest = [i for i in frequent if not have and x[i] >= 4 and plain[i + 1 :].sum() <= 0.02 * plain.sum()]
+        step = max(1, 400_000 // (len(x) * COMPONENTS))
+        for low in range(0, len(rest), step):
+            tried = np.array(rest[low : low + step])
+            n = np.array([counts([*have, i]) for i in tried])
+            old = np.tile(np.array(have, int), (len(tried), 1))
+            none, *_ = _fits(sizes, n, old)
+            limit, genuine, held = _fits(sizes, n, np.c_[old, tried])
+            alone, *_ = _fits(sizes, n, old, tried)
+            for j, i in enumerate(tried):
+                expected, seen = genuine[j, i], n[j, i]
+                gain, gap = limit[j] - none[j], limit[j] - alone[j]
+                others = np.ones(len(x), bool)
+                others[[*have, i]] = False
+                # What the mixture can't follow elsewhere is no sign of a limit here.
+                spread = float(np.median(((n[j] - genuine[j]) ** 2 / np.maximum(genuine[j], 1))[others])) / 0.455 if others.any() else 1.0
+                # A broken character is proof of a cut, so rows of their own are no other explanation.
+                proven = 2 * torn[i].sum() >= seen and gain >= PROVEN_GAIN
+                whole_limit = gain >= max(LIMIT_GAIN, 4 * spread) and (gap >= 2 or seen >= 4 * expected)
+                partial = gain >= max(LIMIT_GAIN, 10 * spread) and gap >= max(10.0, spread)
+                sure = proven or (whole_limit if held[j, -1] >= 0.9 else partial)
+                if seen > expected and held[j, -1] >= LIMIT_HELD and sure:
+                    if best is None or gain > best[0]:
+                        best = float(gain), int(i)
+        if best is None:
+            break
+        found.append(best)
+    if not found:
+        return []
+    have = [i for _, i in found]
+    _, genuine, *_ = _fits(sizes, counts(have)[None], np.array([have]))
+    return [(gain, int(x[i]), float(min(0.999, max(0.02, 1 - genuine[0, i] / max(1.0, plain[i]))))) for gain, i in found]
+
+
+def _of_unit(hist: pd.DataFrame, unit: str) -> list[tuple[float, int, float]]:
+    whole = hist[~hist["broken"]].groupby("size")["n"].sum()
+    broken = hist[hist["broken"]].groupby("size")["n"].sum() if unit == "bytes" else pd.Series(dtype=int)
+    return _unit_limits(whole, broken)
+
+
 def find_limits(hist: pd.DataFrame) -> list[tuple[str, int, float]]:
     """(unit, limit, share of censored among the whole rows there) from rows (unit, size, broken, n) of one source."""
-    found = []
-    for unit in ("chars", "bytes"):
-        part = hist[(hist["unit"] == unit) & (hist["size"] > 0)]
-        whole = part[~part["broken"]].groupby("size")["n"].sum()
-        broken = part[part["broken"]].groupby("size")["n"].sum() if unit == "bytes" else pd.Series(dtype=int)
-        sizes = {int(v) for v in whole.index} | {int(v) + d for v in broken.index for d in (1, 2, 3)}
-        spikes = {}
-        for size in sizes:
-            partial = sum(int(broken.get(size - d, 0)) for d in (1, 2, 3))
-            spikes[size] = int(whole.get(size, 0)) + partial
-        total = sum(int(v) for v in whole) + sum(int(v) for v in broken)
-        for size in sorted(spikes, key=lambda v: -spikes[v])[:12]:
-            beyond = int(whole[whole.index > size].sum()) + int(broken[broken.index >= size].sum() if len(broken) else 0)
-            if spikes[size] < LIMIT_ROWS or size < 4 or beyond > 0.02 * total:
-                continue
-            lengths = np.array([*whole.index, *(int(v) + 1 for v in broken.index)], float)
-            counts = np.array([*whole, *broken], float)
-            fit = fit_censored(lengths, counts, size)
-            expected, rest = total * _mass(fit, size - 0.5, size + 0.5), total * _mass(fit, size + 0.5, np.inf)
-            if spikes[size] >= LIMIT_EXCESS * expected and beyond <= LIMIT_BEYOND * rest:
-                here = max(1, int(whole.get(size, 0)))
-                found.append((unit, size, min(0.999, max(0.02, 1 - expected / here))))
-                break
-    return found
+    part = lambda unit: hist[(hist["unit"] == unit) & (hist["size"] > 0)]
+    return [(unit, size, share) for unit in ("chars", "bytes") for _, size, share in _of_unit(part(unit), unit)]
+
+
+def source_limits(joint: pd.DataFrame) -> list[tuple[str, int, float]]:
+    """The same from rows (chars, bytes, broken, n). The rows at the limits of the unit that gains more by them stay out
+    of the other: 40 characters are mostly about 100 bytes, which then look like a limit as well."""
+    of = lambda rows, unit: _of_unit(rows[rows[unit] > 0].rename(columns={unit: "size"}), unit)
+    first = {unit: of(joint, unit) for unit in ("chars", "bytes")}
+    lead = max(first, key=lambda unit: max((g for g, *_ in first[unit]), default=0.0))
+    other = "bytes" if lead == "chars" else "chars"
+    if first[lead]:
+        tops = {size for _, size, _ in first[lead]}
+        held = joint[lead].isin(tops)
+        if lead == "bytes":
+            held |= joint["broken"] & joint["bytes"].isin({t - d for t in tops for d in (1, 2, 3)})
+        first[other] = of(joint[~held], other)
+    return [(unit, size, share) for unit in ("chars", "bytes") for _, size, share in first[unit]]
 
 
 def limits(sized: DataFrame) -> DataFrame:
     """(src, source, unit, size, share): the limits of each source, fitted from its histogram of lengths."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(key[0], key[1], *found) for found in find_limits(pdf)]
+        rows = [(key[0], key[1], *found) for found in source_limits(pdf)]
         return pd.DataFrame(rows, columns=["src", "source", "unit", "size", "share"])
 
     filled = sized.where("chars > 0").withColumn("source", F.coalesce("source", F.lit("")))
     counted = filled.groupBy("src", "source", "broken", "chars", "bytes").agg(F.count("*").alias("n"))
-    hist = counted.select("src", "source", "broken", "n", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("u"))
-    hist = hist.groupBy("src", "source", "broken", "u.unit", "u.size").agg(F.sum("n").alias("n"))
-    return hist.groupBy("src", "source").applyInPandas(run, "src string, source string, unit string, size int, share double")
+    return counted.groupBy("src", "source").applyInPandas(run, "src string, source string, unit string, size int, share double")
 
 
 class Contexts:
