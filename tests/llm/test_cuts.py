@@ -86,3 +86,22 @@ def test_a_limit_in_the_body_needs_no_fourfold_spike():
     assert [f[:2] for f in found] == [("chars", 22)]
     assert (true == 22).sum() * 4 > (true >= 22).sum()  # no spike of four times the expected
     assert abs(found[0][2] - (true > 22).sum() / (true >= 22).sum()) < 0.15
+
+
+def test_rare_and_several_limits_are_found():
+    true = lengths(1, 20_000)
+    assert [f[:2] for f in cuts.find_limits(unit_hist(np.minimum(true, 60)))] == [("chars", 60)]  # holds 1 % of the rows
+    mixed = np.where(np.random.default_rng(3).random(len(true)) < 0.5, np.minimum(true, 30), np.minimum(true, 45))
+    assert sorted(f[:2] for f in cuts.find_limits(unit_hist(mixed))) == [("chars", 30), ("chars", 45)]
+
+
+def test_several_limits_of_a_source_keep_each_row_once(spark):
+    rng = np.random.default_rng(5)
+    true = lengths(1, 4000)
+    shown = np.where(rng.random(len(true)) < 0.5, np.minimum(true, 30), np.minimum(true, 45))
+    letters = np.array(list("外資主力散戶投信今天又倒貨看起來很疲弱"))
+    rows = [("comments", i, "web", "".join(rng.choice(letters, n))) for i, n in enumerate(shown)]
+    df = spark.createDataFrame(rows, "src string, row_id bigint, source string, text string")
+    assert sorted(r["size"] for r in cuts.limits(cuts.measured(df)).collect() if r["unit"] == "chars") == [30, 45]
+    got = [r.row_id for r in cuts.scored(df, []).collect()]
+    assert sorted(got) == list(range(len(rows)))

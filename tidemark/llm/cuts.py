@@ -175,9 +175,7 @@ def _unit_limits(whole: pd.Series, broken: pd.Series) -> list[tuple[float, int,
     while True:
         have = [i for _, i in found]
         best = None
-        seen_at = plain + torn.sum(1)
-        frequent = sorted(range(len(x)), key=lambda v: -seen_at[v])[:12]
-        rest = [i for i in frequent if not have and x[i] >= 4 and plain[i + 1 :].sum() <= 0.02 * plain.sum()]
+        rest = [i for i in range(len(x)) if i not in have and x[i] >= 4]
         step = max(1, 400_000 // (len(x) * COMPONENTS))
         for low in range(0, len(rest), step):
             tried = np.array(rest[low : low + step])
@@ -386,12 +384,11 @@ def scored(texts: DataFrame, names: list[str]) -> DataFrame:
     """(src, row_id, source, p_cut) for (src, row_id, source, text)."""
     sized = measured(texts.select("src", "row_id", "source", "text"))
     bounds = materialize(limits(sized))
-    pick = lambda unit, size, share: bounds.where(F.col("unit") == unit).select("src", F.col("source").alias("s"), F.col("size").alias(size), F.col("share").alias(share))
+    pick = lambda unit: bounds.where(F.col("unit") == unit).select("src", F.col("source").alias("s"), F.col("size").alias(unit), F.col("share").alias(f"share_{unit}"))
     keyed = sized.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("k", text_key(F.col("text")))
-    keyed = keyed.join(small(pick("chars", "max_chars", "share_chars")), ["src", "s"], "left").join(small(pick("bytes", "max_bytes", "share_bytes")), ["src", "s"], "left")
-    share = F.greatest(
-        F.when(F.col("chars") == F.col("max_chars"), F.col("share_chars")), F.when((F.col("bytes") == F.col("max_bytes")) & ~F.col("broken"), F.col("share_bytes"))
-    )
+    # A source may have several limits; the size is part of the key, so a row meets one of each unit at most.
+    keyed = keyed.join(small(pick("chars")), ["src", "s", "chars"], "left").join(small(pick("bytes")), ["src", "s", "bytes"], "left")
+    share = F.greatest(F.col("share_chars"), F.when(~F.col("broken"), F.col("share_bytes")))
     keyed = keyed.withColumn("prior", F.coalesce(share, F.lit(MID_TRANSFER))).withColumn("at_limit", share.isNotNull() | F.col("broken"))
     distinct = keyed.where("trim(text) <> ''").groupBy("src", "k").agg(F.first("text").alias("text"), F.max("at_limit").alias("at_limit"), F.greatest(F.lit(1), F.count("*") - REFETCHED).alias("ends"))
     counts = context_counts(distinct, names)
