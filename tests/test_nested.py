@@ -90,3 +90,21 @@ def test_targets_of_typed_articles(spark):
     sh = N.shred_forum(spark.createDataFrame(rows, schema), spark.createDataFrame([], "record_id bigint, payload string"))
     got = sorted((r.record_id, r.comment_pos, r.target_pos, r.target_text) for r in N.target_rows(sh).collect())
     assert got == [(1, -1, -1, "9"), (1, 7, 0, "a"), (1, 7, 1, "b"), (1, 8, 0, "x")]
+
+
+def test_batches_meta_and_unknown_fields_are_kept():
+    a, b = {"pos": 0, "comment": "a"}, {"pos": 0, "comment": "b"}
+    value = {
+        "meta": {"footer": [{"ip": "1"}], "x": {"deep": [{"y": 1}]}}, "extra": {"comment": {"q": 1}},
+        "batches": [{"batch_no": 1, "comments": [{**a, "odd": {"z": [2]}}]}, {"batch_no": 2, "comments": [b]}],
+    }
+    found = N.identify(N.forum_tree(value))
+    assert sorted(n.scalars["batch_no"] for n, *_ in found if n.role == "batch") == [1, 2]
+    assert {"meta", "footer", "x", "deep", "y", "extra", "odd", "z"} <= {n.field for n, *_ in found} | {k for n, *_ in found for k in n.scalars or {}}
+    assert sum(n.role == "comment" for n, *_ in found) == 2
+    places = [(parent, n.field, n.ordinal) for n, _, parent, *_ in found]
+    assert len(places) == len(set(places))
+    ident = lambda *batches: N.identify(N.forum_tree({"batches": [{"comments": x} for x in batches]}))[0][3]
+    assert ident([a], [b]) != ident([b], [a])
+    generic = lambda v: N.identify(N.generic_tree({"k": v}))[0][3]
+    assert generic([[1], [2]]) != generic([[2], [1]])

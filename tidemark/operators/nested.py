@@ -98,8 +98,10 @@ def _generic_child(node: Node, key: str, child: Any, ordinal: int, path: list[in
         if made is not None:
             node.children.append(made)
     elif isinstance(child, list):
-        for i, item in enumerate(child):
-            _generic_child(node, key, item, i, [*path, i])
+        if not child and node.scalars is not None and not path:
+            node.scalars[key] = []
+        for i, item in enumerate(child):  # a list in a list has its place in its name, so places stay different
+            _generic_child(node, f"{key}[{i}]" if isinstance(item, list) else key, item, i, [*path, i])
     elif path:
         node.children.append(Node(key, key, ordinal, None, scalar_text(child)))
     elif node.scalars is not None:
@@ -116,6 +118,19 @@ def _as_int(value: Any) -> int | None:
     return number if -(2**31) <= number < 2**31 else None
 
 
+def _loose(key: str, child: Any) -> list[Node]:
+    """The nodes of a nested field that no rule reads; they never pass for targets or comments."""
+    holder = Node("", "", 0, {})
+    _generic_child(holder, key, child, 0, [])
+    todo = list(holder.children)
+    while todo:
+        node = todo.pop()
+        todo += node.children
+        if node.role in (*TARGET_ROLES, "comment"):
+            node.role = "nested"
+    return holder.children
+
+
 def target_nodes(targets: Any, parent_pos: int, comment_pos: int) -> list[Node]:
     """A node for each target: all elements are counted, null, "" and {} make none; a bare value is a list of one."""
     nodes = []
@@ -125,7 +140,7 @@ def target_nodes(targets: Any, parent_pos: int, comment_pos: int) -> list[Node]:
         if isinstance(item, dict):
             nodes.append(Node("target", "stock_targets", i, dict(item), None, parent_pos, comment_pos, i))
         elif isinstance(item, list):
-            continue
+            nodes += _loose(f"stock_targets[{i}]", item)
         else:
             nodes.append(Node("target", "stock_targets", i, None, scalar_text(item), parent_pos, comment_pos, i))
     return nodes
@@ -150,18 +165,19 @@ def comment_nodes(comments: Any, name: str, parent_pos: int, encoded: bool, dept
             pos = _as_int(key) if key is not None else i
         pos = i if pos is None else pos
         analysis = item.get("analysis")
-        scalars = {k: v for k, v in item.items() if k not in ("stock_targets", "replies", "analysis") and not isinstance(v, (dict, list))}
-        node = Node("comment", name, i, scalars, None, parent_pos, pos)
+        known = ("stock_targets", "replies", *(["analysis"] if isinstance(analysis, dict) else []))
+        node = Node("comment", name, i, _known_scalars(item, known), None, parent_pos, pos)
         targets = item.get("stock_targets")
         node.children += target_nodes(decode(targets) if encoded and isinstance(targets, str) else targets, parent_pos, pos)
         if isinstance(analysis, dict):
-            made = generic_tree({k: v for k, v in analysis.items() if k != "stock_targets"}, "analysis", "analysis")
-            if made is not None:
+            own = "stock_targets" in item  # then those of the analysis aren't the comment's, and stay with it
+            for made in _loose("analysis", {k: v for k, v in analysis.items() if own or k != "stock_targets"}):
                 made.parent_pos, made.comment_pos = parent_pos, pos
                 node.children.append(made)
-            if "stock_targets" not in item:
+            if not own:
                 node.children += target_nodes(analysis.get("stock_targets"), parent_pos, pos)
         node.children += comment_nodes(item.get("replies"), "replies", pos, encoded, depth + 1)
+        _unknown(node, item, known)
         nodes.append(node)
     return nodes
 
@@ -178,27 +194,36 @@ def article_target_nodes(targets: Any) -> list[Node]:
     return nodes
 
 
+def _unknown(node: Node, fields: dict, known: Sequence[str]) -> None:
+    """The nested fields of an object that have no rule of their own, as nodes of the generic tree."""
+    for key, child in fields.items():
+        if key not in known and isinstance(child, (dict, list)):
+            node.children += _loose(key, child)
+
+
+def _known_scalars(fields: dict, known: Sequence[str]) -> dict[str, Any]:
+    return {k: v for k, v in fields.items() if k not in known and (not isinstance(v, (dict, list)) or v == [])}
+
+
 def forum_tree(value: Any, encoded: bool = False) -> Node | None:
-    """The tree of one crawled article. ``encoded``: targets of comments are JSON text inside the JSON."""
+    """The tree of one crawled article. ``encoded``: targets of comments are JSON text inside the JSON.
+    Batches and the meta object are nodes of their own, so a comment hangs under its batch."""
     if not isinstance(value, dict):
         return None
-    meta = value.get("meta")
-    known = ("comments", "batches", "meta", "paragraph_stock_targets")
-    scalars = {k: v for k, v in value.items() if k not in known and not isinstance(v, (dict, list))}
-    if isinstance(meta, dict):
-        scalars |= {k: v for k, v in meta.items() if not isinstance(v, (dict, list))}
-    node = Node("article", "", 0, scalars)
-    footer = value.get("footer", meta.get("footer") if isinstance(meta, dict) else None)
-    for i, item in enumerate(footer if isinstance(footer, list) else []):
-        made = generic_tree(item, "footer", "footer", i)
-        if made is not None:
-            node.children.append(made)
+    batches = value.get("batches")
+    known = ("comments", "paragraph_stock_targets", *(["batches"] if isinstance(batches, list) else []))
+    node = Node("article", "", 0, _known_scalars(value, known))
     node.children += article_target_nodes(value.get("paragraph_stock_targets"))
     node.children += comment_nodes(value.get("comments"), "comments", -1, encoded)
-    batches = value.get("batches")
-    for item in batches if isinstance(batches, list) else []:
+    for i, item in enumerate(batches if isinstance(batches, list) else []):
         if isinstance(item, dict):
-            node.children += comment_nodes(item.get("comments"), "comments", -1, encoded)
+            batch = Node("batch", "batches", i, _known_scalars(item, ("comments",)))
+            batch.children += comment_nodes(item.get("comments"), "comments", -1, encoded)
+            _unknown(batch, item, ("comments",))
+            node.children.append(batch)
+        elif isinstance(item, list):
+            node.children += _loose(f"batches[{i}]", item)
+    _unknown(node, value, known)
     return node
 
 
@@ -306,7 +331,7 @@ def comment_rows(shredded: DataFrame) -> DataFrame:
 
 def shred_forum(articles: DataFrame, raw_records: DataFrame, roles: Sequence[str] | None = None) -> DataFrame:
     """Occurrences of both nested sources of the forum in one frame."""
-    body = F.to_json(F.struct("paragraph_link", "paragraph_title", "comments", "paragraph_stock_targets"))
+    body = F.to_json(F.struct(*[c for c in articles.columns if c != "id"]))
     typed = shred(articles, "articles", F.col("id"), body, lambda value: forum_tree(value, encoded=True), roles)
     raw = shred(raw_records, "raw_records", F.col("record_id"), F.col("payload"), roles=roles)
     return typed.unionByName(raw)

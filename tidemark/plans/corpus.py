@@ -9,7 +9,8 @@ from tidemark.sources.tables import table
 
 
 def _shredded(spark: SparkSession, folder: str, *roles: str) -> DataFrame:
-    articles = table(spark, folder, "articles", "id", "paragraph_link", "paragraph_title", "comments", "paragraph_stock_targets")
+    # Comments and targets need two columns; whole articles are hashed with all they have.
+    articles = table(spark, folder, "articles", *(("id", "comments", "paragraph_stock_targets") if roles else ()))
     return nested.shred_forum(articles, table(spark, folder, "raw_records", "record_id", "payload"), roles or None)
 
 
