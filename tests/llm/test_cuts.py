@@ -62,9 +62,9 @@ def test_empty(spark):
 def test_contexts_do_not_depend_on_the_batch():
     made = cuts.Contexts(["蓼苔重工"])
     texts = ["買蓼苔重工123張", "推", "", "看蓼苔", "abc 12.5"]
-    together, ends = made.of(texts)
+    together, ends, _ = made.of(texts)
     for i, text in enumerate(texts):
-        alone, end = made.of([text])
+        alone, end, _ = made.of([text])
         if ends[i] >= 0:
             assert [h[ends[i]] for h in together] == [h[end[0]] for h in alone]
 
@@ -105,3 +105,30 @@ def test_several_limits_of_a_source_keep_each_row_once(spark):
     assert sorted(r["size"] for r in cuts.limits(cuts.measured(df)).collect() if r["unit"] == "chars") == [30, 45]
     got = [r.row_id for r in cuts.scored(df, []).collect()]
     assert sorted(got) == list(range(len(rows)))
+
+
+def test_names_in_several_parts_match_as_in_one():
+    from tidemark.llm.names import Finder
+
+    rng = random.Random(4)
+    listed = ["".join(rng.choice("甲乙丙丁") for _ in range(rng.randint(2, 5))) for _ in range(300)]
+    text = "".join(rng.choice("甲乙丙丁戊") for _ in range(5000))
+    assert list(Finder(listed, 7)(text)) == list(Finder(listed)(text))
+
+
+def test_an_ellipsis_is_judged_by_what_stands_before_it(spark):
+    rows, _ = forum(3000)
+    more = [("comments", 20_000, "web", "外資成本大概123，所以不會跌太深…", 1), ("comments", 20_001, "web", "外資成本大概123，所以不會…", 1), ("comments", 20_002, "web", "…", 1)]
+    got = {r.row_id: r.p_cut for r in cuts.scored(spark.createDataFrame(rows + more, "src string, row_id bigint, source string, text string, size int"), []).collect()}
+    assert got[20_000] < 0.5 <= got[20_001] and got[20_002] < 0.5
+
+
+def test_cut_texts_do_not_vouch_for_each_other(spark):
+    """A context that is cut oftener than once in a hundred times is still seen as cut."""
+    rng = random.Random(6)
+    rows = [("comments", i, "web", f"今天{rng.randint(10, 9999)}元賣出，詳見 https://forum.example/{rng.randint(1, 999)}.html") for i in range(600)]
+    rows += [("comments", 1000 + i, "web", f"看好這檔{i}張，很安心") for i in range(600)]
+    cut = {2000 + i for i in range(30)}
+    rows += [("comments", i, "web", f"今天{i}元賣出，詳見 https://fo") for i in cut]
+    got = {r.row_id: r.p_cut for r in cuts.scored(spark.createDataFrame(rows, "src string, row_id bigint, source string, text string"), []).collect()}
+    assert {i for i, p in got.items() if p >= 0.5} == cut

@@ -7,9 +7,12 @@ Two kinds of evidence are combined in one posterior per row:
   that the censored fit explains far better than the uncensored one, and than rows of its own there would. A row at a limit is censored with
   probability 1 - expected / observed; elsewhere ``MID_TRANSFER`` is the prior of a cut.
 * Ending. Over all texts it is counted how often each context (the last 1 to 9 symbols) is followed by more text and how
-  often the text ends there. Numbers are one symbol, names of the reference list another, begun names a third. The
-  shares of ends in longer contexts are drawn towards those in shorter ones. Rows at a limit don't count as ends, and so few ends as cuts alone would
-  cause don't either. An open bracket is evidence too; a broken character at the end is proof.
+  often a text ends there. Numbers are one symbol, names of the reference list another, begun names a third; an ellipsis
+  at the end is put there by people and by collectors alike, so the ending before it is judged. The shares of ends in
+  longer contexts are drawn towards those in shorter ones. Ends and cuts are estimated together: an end counts with the
+  probability that it is none of a cut, which follows from the counts, so both are worked out again in turn
+  (``TURNS``); else cut texts would vouch for each other where a context is cut often. So few ends as cuts alone would
+  cause don't count either. An open bracket is evidence too; a broken character at the end is proof.
 
 Defined results: null and blank texts aren't cut; a text shorter than all contexts uses those it has; sources may be
 null. Statistics are over distinct texts, so copies of a cut text don't vouch for each other.
@@ -28,6 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.batches import parts
 from tidemark.llm.forms import _rows as fold_rows
 from tidemark.llm.forms import text_key
+from tidemark.llm.names import Finder
 from tidemark.operators.dictionary import small
 from tidemark.session import materialize
 
@@ -38,7 +42,9 @@ SUPPORT = 3
 #: end a text suffice, as one missed cut weighs as much as one false alarm.
 MID_TRANSFER = 0.1
 #: Ends up to this share of a context's occurrences, and two deviations more, are put down to cuts.
-CUT_ENDS = 0.01
+CUT_ENDS = 0.05
+#: How often ends and cuts are estimated from each other.
+TURNS = 4
 #: A cut text is fetched again once or twice; a text with more copies is a phrase, and they count as ends.
 REFETCHED = 3
 OPEN_BRACKET = 100.0
@@ -47,8 +53,6 @@ OPEN_BRACKET = 100.0
 #: holds. Phrases and templates make small steps everywhere, so a limit that holds fewer isn't told from them.
 LIMIT_GAIN, PROVEN_GAIN, LIMIT_HELD = 15.0, 10.0, 0.2
 COMPONENTS, ROUNDS = 3, 60
-#: Names taken as one symbol; a longer list isn't shipped to workers, its names are then plain characters.
-MAX_NAMES = 100_000
 BROKEN = "�"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _N, _PART, _NUM, _EDGE = 1, 2, 3, 0
@@ -246,6 +250,8 @@ def limits(sized: DataFrame) -> DataFrame:
 
     filled = sized.where("chars > 0").withColumn("source", F.coalesce("source", F.lit("")))
     counted = filled.groupBy("src", "source", "broken", "chars", "bytes").agg(F.count("*").alias("n"))
+    # As many tasks as cores: there are few sources, and each fit takes seconds whatever the number of rows.
+    counted = counted.repartition(counted.sparkSession.sparkContext.defaultParallelism, "src", "source")
     return counted.groupBy("src", "source").applyInPandas(run, "src string, source string, unit string, size int, share double")
 
 
@@ -253,18 +259,12 @@ class Contexts:
     """Hashes of the contexts of all positions of many texts at once."""
 
     def __init__(self, names: list[str]):
-        import ahocorasick
-
         table = {ord(c): r for c, r in zip(fold_rows()["ch"].to_pylist(), fold_rows()["repl"].to_pylist())}
         self.table = str.maketrans({**table, 0: None})
         names = sorted({n for n in (name.translate(self.table).strip() for name in names) if len(n) > 1 and not n.isascii()})
         self.begun = {n[:i] for n in names for i in range(1, len(n))} - set(names)
         self.longest = max(map(len, names), default=0)
-        self.automaton = ahocorasick.Automaton()
-        for name in names:
-            self.automaton.add_word(name, len(name))
-        if names:
-            self.automaton.make_automaton()
+        self.find = Finder(names)
         self.size, self.up, self.down = 0, np.empty(0, np.uint64), np.empty(0, np.uint64)
 
     def _powers(self, size: int) -> None:
@@ -273,8 +273,9 @@ class Contexts:
             make = lambda base: np.multiply.accumulate(np.r_[np.uint64(1), np.full(self.size - 1, base, np.uint64)])
             self.up, self.down = make(_BASE), make(pow(_BASE, -1, 1 << 64))
 
-    def of(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Per level the hash at each position, and the positions of the texts' last characters (-1: none)."""
+    def of(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Per level the hash at each position, the positions of the texts' last characters (-1: none), and which positions
+        are places where a cut could be seen: not inside a number."""
         texts = [t.translate(self.table).rstrip() for t in texts]
         joined = "\0" + "\0".join(texts) + "\0"
         codes = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.int64)
@@ -288,11 +289,11 @@ class Contexts:
         last[number] = _NUM
         inside = np.zeros(len(codes), bool)
         inside[:-1] = number[:-1] & number[1:]
+        seen = ~inside
         if self.longest:
-            for end, size in self.automaton.iter_long(joined):
-                first = end - size + 1
-                last[first:end], last[end] = _PART, _N
-                inside[first:end] = True
+            for first, stop in self.find(joined):
+                last[first : stop - 1], last[stop - 1] = _PART, _N
+                inside[first : stop - 1] = True
         last[codes == 0] = _EDGE
         for i, (text, end) in enumerate(zip(texts, ends)):
             if end < 0 or last[end] in (_N, _NUM):
@@ -316,7 +317,7 @@ class Contexts:
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
             out.append((h ^ (h >> np.uint64(32))).view(np.int64))
-        return out, ends
+        return out, ends, seen
 
 
 _CACHE: dict[int, Contexts] = {}
@@ -330,54 +331,60 @@ def _contexts(names: list[str]) -> Contexts:
     return _CACHE[key]
 
 
-def context_counts(distinct: DataFrame, names: list[str]) -> DataFrame:
-    """(src, level, h, c_int, c_end) over all texts; counted within each batch before anything is shuffled.
+_FOUND = pa.schema(
+    [("k", pa.binary()), ("prior", pa.float64()), ("own", pa.int64()), ("open", pa.bool_()), ("hs", pa.list_(pa.int64())), ("level", pa.int32()), ("h", pa.int64()), ("c_int", pa.int64())]
+)
 
-    distinct: (src, k, text, at_limit, ends).
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = _contexts(names)
-        for batch in (part for whole in batches for part in parts(whole, 1, 20_000)):
-            srcs, texts, held, copies = (batch.column(i).to_pylist() for i in range(4))
-            for src in sorted(set(srcs)):
-                pick = [i for i, s in enumerate(srcs) if s == src]
-                hashes, ends = made.of([texts[i] for i in pick])
-                free = np.array([not held[i] for i in pick])
-                end = np.zeros(len(hashes[0]))
-                end[ends[(ends >= 0) & free]] = np.array([copies[i] for i in pick])[(ends >= 0) & free]
-                for level, h in zip(LEVELS, hashes):
-                    unique, back = np.unique(h, return_inverse=True)
-                    c_end = np.bincount(back, end, len(unique)).astype(np.int64)
-                    c_int = np.bincount(back, end == 0, len(unique)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([src] * len(unique)), pa.array(np.full(len(unique), level, np.int32)), pa.array(unique), pa.array(c_int), pa.array(c_end)], names=["src", "level", "h", "c_int", "c_end"])
-
-    counted = distinct.select("src", "text", "at_limit", "ends").mapInArrow(run, "src string, level int, h bigint, c_int bigint, c_end bigint")
-    return counted.groupBy("src", "level", "h").agg(F.sum("c_int").alias("c_int"), F.sum("c_end").alias("c_end"))
-
-
-def end_contexts(distinct: DataFrame, names: list[str]) -> DataFrame:
-    """(src, k, at_limit, hs, open): the context hashes at each text's end, and whether a bracket stays open."""
+def read_contexts(distinct: DataFrame, names: list[str]) -> DataFrame:
+    """One pass over (k, text, prior, own), giving rows of two kinds: (k, prior, own, open, hs) the context hashes at a
+    text's end and whether a bracket stays open, and (level, h, c_int) how often contexts are followed by more, counted
+    within parts of batches before anything is shuffled. A text without characters gives no row of the first kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _contexts(names)
-        for batch in (part for whole in batches for part in parts(whole, 2, 20_000)):
-            texts = batch.column(2).to_pylist()
-            hashes, ends = made.of(texts)
-            hs = [[int(h[e]) for h in hashes] if e >= 0 else None for e in ends]
-            opened = [any(t.rfind(a) > t.rfind(b) for a, b in ("（）", "「」", "[]", "()")) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(hs, pa.list_(pa.int64())), pa.array(opened)], names=["src", "k", "at_limit", "hs", "open"])
-
-    return distinct.select("src", "k", "text", "at_limit").mapInArrow(run, "src string, k binary, at_limit boolean, hs array<bigint>, open boolean")
+        for batch in (part for whole in batches for part in parts(whole, 1, 20_000)):
+            texts = batch.column(1).to_pylist()
+            hashes, ends, inner = made.of(texts)
+            kept = np.flatnonzero(ends >= 0)
+            hs = np.stack([h[ends[kept]] for h in hashes], 1)
+            opened = [any(texts[i].rfind(a) > texts[i].rfind(b) for a, b in ("（）", "「」", "[]", "()")) for i in kept]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, hs.size + 1, len(LEVELS), dtype=np.int32)), pa.array(hs.ravel()))
+            rows = batch.take(pa.array(kept))
+            none = [pa.nulls(len(kept), f.type) for f in list(_FOUND)[5:]]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(opened, pa.bool_()), lists, *none], schema=_FOUND)
+            inner[ends[kept]] = False
+            inner[np.r_[True, np.zeros(len(inner) - 1, bool)]] = False
+            for level, h in zip(LEVELS, hashes):
+                unique, count = np.unique(h[inner], return_counts=True)
+                none = [pa.nulls(len(unique), f.type) for f in list(_FOUND)[:5]]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(np.full(len(unique), level, np.int32)), pa.array(unique), pa.array(count)], schema=_FOUND)
+
+    schema = "k binary, prior double, own bigint, open boolean, hs array<bigint>, level int, h bigint, c_int bigint"
+    return distinct.select("k", "text", "prior", "own").mapInArrow(run, schema)
+
+
+def _weighed(cells: DataFrame, places: DataFrame, n_int: float) -> DataFrame:
+    """The cells with the probability of a cut worked out anew from the present ones.
+
+    cells: (cell, prior, open, own, p); places: (cell, level, h, c_int), the contexts of each cell's ending."""
+    ends = F.col("own") * (1 - F.col("p"))
+    told = places.join(cells.select("cell", ends.alias("e"), (1 - F.col("p")).alias("mine")), "cell")
+    per = told.groupBy("level", "h").agg(F.sum("e").alias("c_end"))
+    looked = told.join(per, ["level", "h"]).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("level", "c_int", (F.col("c_end") - F.col("mine")).alias("c_end")))).alias("c"))
+    total = F.broadcast(cells.agg(F.sum(ends).alias("n_end")))  # one row
 
+    def deeper(p: Column, c: Column) -> Column:
+        """The share of ends in a context, drawn towards that of the next shorter one."""
+        met = F.greatest(F.lit(0.0), c["c_int"] + c["c_end"])
+        by_cuts = CUT_ENDS * met
+        return (F.greatest(F.lit(0.0), c["c_end"] - by_cuts - 2 * F.sqrt(by_cuts)) + SUPPORT * p) / (met + SUPPORT)
 
-def lexicon(*columns: DataFrame) -> list[str]:
-    """The names of one-column frames, if there are few enough to ship to workers; else none."""
-    names = columns[0]
-    for more in columns[1:]:
-        names = names.union(more)
-    rows = names.where(F.col(names.columns[0]).isNotNull()).distinct().limit(MAX_NAMES + 1).collect()
-    return sorted(r[0] for r in rows) if len(rows) <= MAX_NAMES else []
+    root = F.col("n_end") / F.greatest(F.lit(1.0), F.lit(n_int) + F.col("n_end"))
+    share = F.greatest(F.aggregate("c", root, deeper), 0.05 / F.greatest(F.lit(1.0), F.lit(n_int) + F.col("n_end")), F.lit(1e-12))
+    ratio = (1 - share) / share * F.col("n_end") / F.greatest(F.lit(n_int), F.lit(1.0)) * F.when(F.col("open"), OPEN_BRACKET).otherwise(1.0)
+    odds = F.col("prior") / (1 - F.col("prior")) * F.col("ratio")
+    return cells.drop("p", "ratio").join(looked, "cell").crossJoin(total).withColumn("ratio", ratio).withColumn("p", odds / (1 + odds)).drop("c", "n_end")
 
 
 def scored(texts: DataFrame, names: list[str]) -> DataFrame:
@@ -385,40 +392,46 @@ def scored(texts: DataFrame, names: list[str]) -> DataFrame:
     sized = measured(texts.select("src", "row_id", "source", "text"))
     bounds = materialize(limits(sized))
     pick = lambda unit: bounds.where(F.col("unit") == unit).select("src", F.col("source").alias("s"), F.col("size").alias(unit), F.col("share").alias(f"share_{unit}"))
-    keyed = sized.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("k", text_key(F.col("text")))
+    stem = F.regexp_replace("text", r"\s*(?:…|\.{2,})+\s*$", "")
+    stem = F.when(stem == "", F.col("text")).otherwise(stem)
+    keyed = sized.withColumns({"s": F.coalesce("source", F.lit("")), "text": stem}).withColumn("k", text_key(F.col("text")))
     # A source may have several limits; the size is part of the key, so a row meets one of each unit at most.
     keyed = keyed.join(small(pick("chars")), ["src", "s", "chars"], "left").join(small(pick("bytes")), ["src", "s", "bytes"], "left")
     share = F.greatest(F.col("share_chars"), F.when(~F.col("broken"), F.col("share_bytes")))
-    keyed = keyed.withColumn("prior", F.coalesce(share, F.lit(MID_TRANSFER))).withColumn("at_limit", share.isNotNull() | F.col("broken"))
-    distinct = keyed.where("trim(text) <> ''").groupBy("src", "k").agg(F.first("text").alias("text"), F.max("at_limit").alias("at_limit"), F.greatest(F.lit(1), F.count("*") - REFETCHED).alias("ends"))
-    counts = context_counts(distinct, names)
-    totals = counts.where(F.col("level") == 1).groupBy("src").agg(F.sum("c_int").alias("n_int"), F.sum("c_end").alias("n_end"))
-    ends = end_contexts(distinct, names).where("hs is not null")
-    # One row per kind of ending; the longest context stands for it.
-    kinds = ends.groupBy("src", F.col("hs")[len(LEVELS) - 1].alias("h9")).agg(F.first("hs").alias("hs"))
+    keyed = keyed.withColumns({"limit": share, "prior": F.coalesce(share, F.lit(MID_TRANSFER))})
+    # Equal texts are judged once, with the highest prior of their rows; a broken one is no end.
+    distinct = keyed.where("trim(text) <> ''").groupBy("k").agg(
+        F.first("text").alias("text"), F.max("limit").alias("limit"), F.max("prior").alias("prior"), F.greatest(F.lit(1), F.count("*") - REFETCHED).alias("own"), F.max("broken").alias("broken"),
+    )
+    own = F.when(F.col("broken"), 0).otherwise(F.col("own"))
+    # Rows at a limit bring their prior; elsewhere texts count as whole at first.
+    found = materialize(read_contexts(distinct.select("k", "text", "prior", own.alias("own")), names))
+    ends = found.where("k is not null").withColumn("h9", F.col("hs")[len(LEVELS) - 1])
+    counts = found.where("k is null").groupBy("level", "h").agg(F.sum("c_int").alias("c_int"))
+    # One cell per kind of ending and prior; the longest context stands for all.
+    kind = ["h9", "prior", "open", (F.col("own") == 0).alias("torn")]
+    cell = F.xxhash64("h9", "prior", "open", "torn")
+    start = F.when(F.col("prior") > MID_TRANSFER, F.col("prior")).otherwise(0.0)
+    cells = ends.groupBy(*kind).agg(F.first("hs").alias("hs"), F.sum("own").alias("own")).withColumns({"cell": cell, "p": start})
     level_of = F.array(*[F.lit(v) for v in LEVELS])
-    looked = kinds.select("src", "h9", F.explode(F.arrays_zip(level_of.alias("level"), F.col("hs").alias("h"))).alias("z")).select("src", "h9", F.col("z.level").alias("level"), F.col("z.h").alias("h"))
-    looked = looked.join(counts, ["src", "level", "h"])
-    # One row for each of the two fields.
-    evidence = looked.groupBy("src", "h9").agg(F.array_sort(F.collect_list(F.struct("level", "c_int", "c_end"))).alias("c")).join(F.broadcast(totals), "src")
-    judged = ends.withColumn("h9", F.col("hs")[len(LEVELS) - 1]).join(evidence, ["src", "h9"])
-    own = F.when(F.col("at_limit"), 0).otherwise(1)
-
-    def deeper(p: Column, c: Column) -> Column:
-        """The share of ends in a context, drawn towards that of the next shorter one."""
-        seen = F.greatest(F.lit(0.0), c["c_int"] + c["c_end"] - own)
-        by_cuts = F.lit(CUT_ENDS) * seen
-        return (F.greatest(F.lit(0.0), c["c_end"] - own - by_cuts - 2 * F.sqrt(by_cuts)) + SUPPORT * p) / (seen + SUPPORT)
-
-    share = F.aggregate("c", F.col("n_end") / (F.col("n_int") + F.col("n_end")), deeper)
-    share = F.greatest(share, 0.05 / (F.col("n_int") + F.col("n_end")))
-    ratio = (1 - share) / share * F.col("n_end") / F.greatest(F.col("n_int"), F.lit(1))
-    ratio = ratio * F.when(F.col("open"), OPEN_BRACKET).otherwise(1.0)
-    rated = keyed.select("src", "row_id", "source", "k", "prior", "broken").join(judged.select("src", "k", ratio.alias("ratio")), ["src", "k"], "left")
+    placed = cells.select("cell", "h9", "prior", "open", "torn", "own", "p", F.explode(F.arrays_zip(level_of.alias("level"), F.col("hs").alias("h"))).alias("z"))
+    placed = materialize(placed.select("*", "z.level", "z.h").drop("z").join(counts, ["level", "h"], "left").withColumn("c_int", F.coalesce("c_int", F.lit(0))))
+    places = placed.select("cell", "level", "h", "c_int")
+    cells = placed.where(F.col("level") == LEVELS[-1]).select("cell", "h9", "prior", "open", "torn", "own", "p")
+    n_int = float(_total(counts))
+    for _ in range(TURNS):
+        cells = materialize(_weighed(cells, places, n_int))
+    judged = ends.select("k", *kind).join(cells.select("h9", "prior", "open", "torn", "ratio"), ["h9", "prior", "open", "torn"]).select("k", "ratio")
+    rated = keyed.select("src", "row_id", "source", "k", "prior", "broken").join(judged, "k", "left")
     odds = F.col("prior") / (1 - F.col("prior")) * F.col("ratio")
     return rated.select("src", "row_id", "source", F.when(F.col("broken"), 1.0).otherwise(F.coalesce(odds / (1 + odds), F.lit(0.0))).alias("p_cut"))
 
 
+def _total(counts: DataFrame) -> int:
+    """Places in all texts where more follows: one number."""
+    return counts.where(F.col("level") == 1).agg(F.sum("c_int")).first()[0] or 0
+
+
 def rates(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Rows and cut rows of each source."""
     cut = F.sum((F.col("p_cut") >= threshold).cast("bigint"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import abuse, bytepairs, canonical, cuts, forms, packing, spans
+from tidemark.llm import abuse, bytepairs, canonical, cuts, forms, names, packing, spans
 from tidemark.sources.tables import table
 
 
@@ -17,10 +17,10 @@ def _reviewable(spark: SparkSession, folder: str) -> DataFrame:
 
 def _abuse_scores(spark: SparkSession, folder: str) -> DataFrame:
     texts, labels = _reviewable(spark, folder), table(spark, folder, "review_labels")
-    names = cuts.lexicon(table(spark, folder, "targets", "stock_name"), table(spark, folder, "nicknames", "stock_nickname"))
+    listed = names.lexicon(table(spark, folder, "targets", "stock_name"), table(spark, folder, "nicknames", "stock_nickname"))
     sample, marks = abuse.reviewed(texts, labels)
-    params = abuse.train(sample, marks, abuse.Reader(names), abuse.unreviewed(texts, labels)) if sample else None
-    return abuse.scored(bytepairs.spread(texts, "row_id"), params, names)
+    params = abuse.train(sample, marks, abuse.Reader(listed), abuse.unreviewed(texts, labels)) if sample else None
+    return abuse.scored(bytepairs.spread(texts, "row_id"), params, listed)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,9 +39,9 @@ def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cut_scores(spark: SparkSession, folder: str) -> DataFrame:
-    names = cuts.lexicon(table(spark, folder, "targets", "stock_name"), table(spark, folder, "nicknames", "stock_nickname"))
+    listed = names.lexicon(table(spark, folder, "targets", "stock_name"), table(spark, folder, "nicknames", "stock_nickname"))
     texts = cuts.texts_of(table(spark, folder, "comments", "comment_id", "source", "comment"), table(spark, folder, "articles", "id", "source", "paragraph_title"))
-    return cuts.scored(texts, names)
+    return cuts.scored(texts, listed)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
