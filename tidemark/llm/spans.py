@@ -36,7 +36,7 @@ _MATCH_ARROW = pa.schema([("k_a", pa.binary()), ("k_b", pa.binary()), ("k", pa.b
 _RUNS = "k binary, bucket bigint, start int, stop int"
 
 
-class _Powers:
+class Powers:
     """Powers of the base and of its inverse modulo 2 ** 64, grown as longer texts come."""
 
     def __init__(self) -> None:
@@ -51,7 +51,7 @@ class _Powers:
         return self.up[:size], self.down[:size]
 
 
-_POWERS = _Powers()
+_POWERS = Powers()
 
 
 def gram_hashes(text: str, gram: int) -> np.ndarray:
