@@ -37,6 +37,11 @@ def test_pairs_and_shares_equal_brute_force(spark, hot):
     pairs, shares = brute(rows, 40)
     got = [(r.doc_id_a, r.doc_id_b) for r in spans.shared_pairs(df, 40, gram=16, hot=hot).collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
+    links = {}
+    for a, b in pairs:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    classes = {r.doc_id: (r.class_id, r.links) for r in spans.document_classes(df, 40, gram=16, hot=hot).collect()}
+    assert {i: n for i, (_, n) in classes.items() if n} == links and classes[104][0] == classes[103][0] == 0
     rates = {r.doc_id: (r.shared_chars, r.share) for r in spans.document_shares(df, 40, gram=16, hot=hot).collect()}
     assert {i: c for i, (c, _) in rates.items()} == shares and rates[100] == (0, 0.0)
     stretches = spans.document_spans(df, 40, gram=16, hot=hot).collect()
@@ -67,3 +72,16 @@ def test_minimum_and_runs():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert spans.shared_pairs(df).count() == 0 and spans.document_shares(df).count() == 0
+
+
+def test_many_texts_with_one_span(spark):
+    """Thousands of texts in one bucket: a row each, and pairs in blocks."""
+    rng = random.Random(7)
+    shared = "".join(rng.choice("股價漲跌甲乙丙丁") for _ in range(100))
+    rows = [(i, chr(0x5000 + i) + shared + chr(0x5000 + i)) for i in range(2500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = spans.distinct_texts(df)
+    assert spans.shared_sets(texts).count() == 2500
+    assert spans.text_pairs(texts).count() == 2500 * 2499 // 2
+    assert spans.document_classes(df).where("links = 2499").count() == 2500
+    assert spans.document_shares(df).where("shared_chars = 100").count() == 2500

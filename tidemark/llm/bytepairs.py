@@ -30,6 +30,8 @@ DEFAULT = "byte_bpe_50k"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces a worker remembers; beyond it the table starts anew.
 CACHED_PIECES = 300_000
+#: Neighbours of tokens a worker remembers, likewise.
+CACHED_PAIRS = 1_000_000
 
 
 class Vocabulary:
@@ -72,6 +74,8 @@ class Vocabulary:
         """Do the two tokens stay two when their bytes are merged together?"""
         known = self._pairs.get((left, right))
         if known is None:
+            if len(self._pairs) >= CACHED_PAIRS:
+                self._pairs.clear()
             known = self._pairs[(left, right)] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
 
@@ -220,8 +224,9 @@ def token_counts(frame: DataFrame, key: Column, text: Column, name: str = DEFAUL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(name, folder).encode
         for batch in batches:
-            sizes = [len(encode(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
+            for part in parts(batch, 1, 1000):
+                sizes = [len(encode(t)) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
     return frame.select(key.cast("bigint").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint")
 

@@ -70,8 +70,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return forms.lookalike_pairs(_forum_texts(spark, folder))
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that have a look-alike, with their class and how many differ in characters."""
+    return forms.lookalike_classes(_forum_texts(spark, folder))
+
+
 def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
-    """The one consistent form of each text."""
+    """The one consistent form of each text, and one for reading."""
     return forms.forms(_forum_texts(spark, folder))
 
 
@@ -128,6 +133,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_pairs(_documents(spark, folder))
 
 
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the class of their text and the number of others that share a span."""
+    return spans.document_classes(_documents(spark, folder))
+
+
 def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
     """The shared stretches of each document."""
     return spans.document_spans(_documents(spark, folder))
@@ -138,6 +148,6 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return spans.document_shares(_documents(spark, folder))
 
 
-_ALL = (p1_found, p1_scores, p1_rates, p2_found, p2_scores, p2_rates, p4_found, p4_forms, p5_found, p5_unmatched, p6_ids, p7_packed, p7_containers, p7_totals, p8_found, p8_spans, p8_shares)
+_ALL = (p1_found, p1_scores, p1_rates, p2_found, p2_scores, p2_rates, p4_found, p4_classes, p4_forms, p5_found, p5_unmatched, p6_ids, p7_packed, p7_containers, p7_totals, p8_found, p8_classes, p8_spans, p8_shares)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}

@@ -8,13 +8,18 @@ Only buckets that two different texts reach are packed at all: positions go firs
 than ``HOT_BUCKET`` windows isn't given to one task; its windows are spread one by one by their own hash, with the
 same result. Equal texts are worked on once and expanded at the end.
 
+No task builds pairs of a group: buckets give the different sets of texts that have a window in common, one row for each
+text of a set, and only ``p8_found`` joins them to pairs, large sets in blocks. Spans, shares and links need no pairs of
+documents. A set is known by a 128-bit hash of its texts (in crowded buckets by number, sum and xor of 64-bit hashes).
+
 Defined results: null texts and texts shorter than the span share nothing; a text with a copy is shared in full; spans
 that recur only within one document aren't shared. Lengths are in code points.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -22,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.batches import parts
+from tidemark.session import materialize
 
 SPAN = 100
 #: Length of the grams whose smallest hash names the bucket: long, so that phrases of a genre don't share buckets.
@@ -31,8 +37,11 @@ HOT_BUCKET = 50_000
 LONGEST_RUN = 500
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_MATCHES = "k_a binary, k_b binary, k binary, start int, stop int"
-_MATCH_ARROW = pa.schema([("k_a", pa.binary()), ("k_b", pa.binary()), ("k", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())])
+#: So many texts of a set are joined with so many in one task.
+PAIR_BLOCK = 1000
+_SETS, _STRETCHES = "g binary, n int, k binary", "k binary, start int, stop int"
+_SET_ARROW = pa.schema([("g", pa.binary()), ("n", pa.int32()), ("k", pa.binary())])
+_STRETCH_ARROW = pa.schema([("k", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())])
 _RUNS = "k binary, bucket bigint, start int, stop int"
 
 
@@ -117,16 +126,17 @@ def _pack(span: int):
     return run
 
 
-def bucket_matches(rows: list[tuple[bytes, int, str]], span: int) -> tuple[set[tuple[bytes, bytes]], list[tuple[bytes, int, int]]]:
-    """(text key, first window, packed string) of one bucket: pairs of texts with an equal window, and shared stretches."""
+def bucket_matches(rows: list[tuple[bytes, int, str]], span: int) -> tuple[set[tuple[bytes, ...]], list[tuple[bytes, int, int]]]:
+    """(text key, first window, packed string) of one bucket: the different sets of texts with an equal window, each in
+    order, and the shared stretches."""
     windows = sorted((seq[i : i + span], k, start + i) for k, start, seq in rows for i in range(len(seq) - span + 1))
-    pairs: set[tuple[bytes, bytes]] = set()
+    sets: set[tuple[bytes, ...]] = set()
     shared: dict[bytes, list[int]] = {}
     for _, group in groupby(windows, key=lambda w: w[0]):
         met = list(group)
-        keys = sorted({k for _, k, _ in met})
+        keys = tuple(dict.fromkeys(k for _, k, _ in met))  # sorted, as the windows are
         if len(keys) > 1:
-            pairs.update((a, b) for i, a in enumerate(keys) for b in keys[i + 1 :])
+            sets.add(keys)
             for _, k, at in met:
                 shared.setdefault(k, []).append(at)
     stretches = []
@@ -138,41 +148,41 @@ def bucket_matches(rows: list[tuple[bytes, int, str]], span: int) -> tuple[set[t
                 stretches.append((k, start, before + span))
                 start = at
             before = at
-    return pairs, stretches
+    return sets, stretches
+
+
+def _set_rows(held: list, span: int) -> list[tuple]:
+    return [(hashlib.md5(b"".join(keys)).digest(), len(keys), k) for keys in bucket_matches(held, span)[0] for k in keys]
 
 
-def _sorted_buckets(span: int):
+def _stretch_rows(held: list, span: int) -> list[tuple]:
+    return bucket_matches(held, span)[1]
+
+
+def _sorted_buckets(span: int, close: Callable[[list, int], list[tuple]], schema: pa.Schema):
     """Rows come sorted by bucket; one bucket is held at a time, also across batches."""
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, out = None, [], []
         for batch in batches:
             for bucket, k, start, seq in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if bucket != current:
-                    _close(held, span, out)
+                    if len({k for k, _, _ in held}) > 1:
+                        out += close(held, span)
                     current, held = bucket, []
+                    if len(out) > 10_000:
+                        yield made(out)
+                        out = []
                 held.append((k, start, seq))
-            if len(out) > 10_000:
-                yield _match_batch(out)
-                out = []
-        _close(held, span, out)
+        if len({k for k, _, _ in held}) > 1:
+            out += close(held, span)
         if out:
-            yield _match_batch(out)
+            yield made(out)
 
     return run
 
 
-def _close(held: list, span: int, out: list[tuple]) -> None:
-    if len({k for k, _, _ in held}) > 1:
-        pairs, stretches = bucket_matches(held, span)
-        out += [(a, b, None, None, None) for a, b in pairs]
-        out += [(None, None, k, start, stop) for k, start, stop in stretches]
-
-
-def _match_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MATCH_ARROW)], schema=_MATCH_ARROW)
-
-
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
@@ -183,35 +193,67 @@ def distinct_texts(documents: DataFrame, span: int = SPAN) -> DataFrame:
     return long.groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
 
-def matches(texts: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT_BUCKET) -> DataFrame:
-    """Rows of two kinds: (k_a, k_b) pairs of texts that share a span, and (k, start, stop) shared stretches of a text."""
-    runs = _runs(texts, span, gram)
+def _packed(texts: DataFrame, span: int, gram: int) -> DataFrame:
+    """(bucket, n, k, start, seq): the packed strings of the buckets that two texts reach."""
+    runs = materialize(_runs(texts, span, gram))
     reached = runs.groupBy("bucket").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum(F.col("stop") - F.col("start") + 1).alias("n")).where("lo < hi").select("bucket", "n")
     kept = runs.join(reached, "bucket").groupBy("k").agg(F.collect_list(F.struct("bucket", "n", "start", "stop")).alias("runs"))
-    packed = texts.join(kept, "k").select("k", "text", "runs").mapInArrow(_pack(span), "bucket bigint, n bigint, k binary, start int, seq string")
-    usual = packed.where(F.col("n") <= hot).select("bucket", "k", "start", "seq")
-    usual = usual.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(span), _MATCHES)
-    return usual.unionByName(_hot_matches(packed.where(F.col("n") > hot), span))
+    return texts.join(kept, "k").select("k", "text", "runs").mapInArrow(_pack(span), "bucket bigint, n bigint, k binary, start int, seq string")
+
+
+def _usual(packed: DataFrame, hot: int) -> DataFrame:
+    return packed.where(F.col("n") <= hot).select("bucket", "k", "start", "seq").repartition("bucket").sortWithinPartitions("bucket")
 
 
-def _hot_matches(packed: DataFrame, span: int) -> DataFrame:
-    """The same for crowded buckets: windows spread by their own hash, equal groups of texts paired once."""
+def shared_sets(texts: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT_BUCKET) -> DataFrame:
+    """(g, n, k): the sets of n texts that have a window in common, a row for each text of each set."""
+    packed = materialize(_packed(texts, span, gram))
+    usual = _usual(packed, hot).mapInArrow(_sorted_buckets(span, _set_rows, _SET_ARROW), _SETS)
+    windows = _windows(packed.where(F.col("n") > hot), span).select("w", "k").distinct()
+    groups = _groups(windows)
+    once = groups.groupBy("n", "s", "x").agg(F.min("w").alias("w"), F.min("n").alias("size"))
+    crowded = windows.join(once.select("w", "size"), "w").select(F.col("w").alias("g"), F.col("size").cast("int").alias("n"), "k")
+    return usual.unionByName(crowded).dropDuplicates(["g", "k"])
+
+
+def shared_stretches(texts: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT_BUCKET) -> DataFrame:
+    """(k, start, stop): shared stretches of texts, which may touch or overlap."""
+    packed = materialize(_packed(texts, span, gram))
+    usual = _usual(packed, hot).mapInArrow(_sorted_buckets(span, _stretch_rows, _STRETCH_ARROW), _STRETCHES)
+    windows = _windows(packed.where(F.col("n") > hot), span)
+    shared = windows.join(_groups(windows.select("w", "k").distinct()).select("w"), "w")
+    return usual.unionByName(shared.select("k", F.col("at").cast("int").alias("start"), (F.col("at") + span).cast("int").alias("stop")))
+
+
+def _windows(packed: DataFrame, span: int) -> DataFrame:
+    """(w, k, at): the windows of crowded buckets, to be spread by their own hash."""
     windows = packed.select("k", "start", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - span)).alias("i"))
-    windows = windows.select(text_key(F.expr(f"substring(seq, i + 1, {span})")).alias("w"), "k", (F.col("start") + F.col("i")).alias("at"))
-    groups = windows.select("w", "k").distinct().groupBy("w").agg(
+    return windows.select(text_key(F.expr(f"substring(seq, i + 1, {span})")).alias("w"), "k", (F.col("start") + F.col("i")).alias("at"))
+
+
+def _groups(members: DataFrame) -> DataFrame:
+    """(w, n, s, x) of the windows that several texts have; equal sets of texts have equal n, s and x."""
+    return members.groupBy("w").agg(
         F.count("*").alias("n"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("x")
     ).where("n > 1")
-    once = groups.groupBy("n", "s", "x").agg(F.min("w").alias("w")).select("w")
-    members = windows.select("w", "k").distinct().join(once, "w")
-    pairs = members.withColumnRenamed("k", "k_a").join(members.withColumnRenamed("k", "k_b"), "w").where("k_a < k_b").select("k_a", "k_b").distinct()
-    stretches = windows.join(groups.select("w"), "w").select("k", F.col("at").cast("int").alias("start"), (F.col("at") + span).cast("int").alias("stop"))
-    return pairs.unionByName(stretches, allowMissingColumns=True)
+
+
+def text_pairs(texts: DataFrame, span: int = SPAN, **kw: int) -> DataFrame:
+    """(k_a, k_b), k_a < k_b: different texts that share a span. Sets are joined with themselves in blocks of bounded size,
+    so no task gets all pairs of a large one."""
+    members = materialize(shared_sets(texts, span, **kw))
+    blocks = F.ceil(F.col("n") / PAIR_BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("k"), blocks).cast("int")
+    each = F.explode(F.sequence(F.lit(0), blocks - 1))
+    a = members.select("g", block.alias("i"), each.alias("j"), F.col("k").alias("k_a"))
+    b = members.select("g", each.alias("i"), block.alias("j"), F.col("k").alias("k_b"))
+    return a.join(b, ["g", "i", "j"]).where("k_a < k_b").select("k_a", "k_b").distinct()
 
 
 def shared_pairs(documents: DataFrame, span: int = SPAN, **kw: int) -> DataFrame:
     """All pairs of documents with a common span: pairs of different texts expanded to their copies, and copies."""
     members = documents.where(F.length("text") >= span).select(text_key(F.col("text")).alias("k"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    pairs = matches(distinct_texts(documents, span), span, **kw).where("k_a is not null").select("k_a", "k_b").distinct()
+    pairs = text_pairs(distinct_texts(documents, span), span, **kw)
     a = members.select(F.col("k").alias("k_a"), F.col("doc_id").alias("x"))
     b = members.select(F.col("k").alias("k_b"), F.col("doc_id").alias("y"))
     across = pairs.join(a, "k_a").join(b, "k_b").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
@@ -219,19 +261,38 @@ def shared_pairs(documents: DataFrame, span: int = SPAN, **kw: int) -> DataFrame
     return across.where("doc_id_a < doc_id_b").unionByName(same)
 
 
+def document_classes(documents: DataFrame, span: int = SPAN, **kw: int) -> DataFrame:
+    """(doc_id, class_id, links): every document long enough, the smallest id with the same text, and how many other
+    documents share a span with it. Pairs are counted between different texts only, each weighed with its copies."""
+    members = documents.where(F.length("text") >= span).select(text_key(F.col("text")).alias("k"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    classes = members.groupBy("k").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    pairs = text_pairs(distinct_texts(documents, span), span, **kw)
+    both = pairs.unionByName(pairs.select(F.col("k_b").alias("k_a"), F.col("k_a").alias("k_b")))
+    linked = both.join(classes.select(F.col("k").alias("k_b"), "copies"), "k_b").groupBy(F.col("k_a").alias("k")).agg(F.sum("copies").alias("others"))
+    known = classes.join(linked, "k", "left").select("k", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return members.join(known, "k").select("doc_id", "class_id", "links")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, starts, stops) to (k, spans): stretches that touch or overlap become one."""
+    for batch in batches:
+        spans = []
+        for starts, stops in zip(batch.column(1), batch.column(2)):
+            a, b = starts.values.to_numpy(), stops.values.to_numpy()
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], np.maximum.accumulate(b[order])
+            first = np.r_[True, a[1:] > b[:-1]]
+            spans.append([{"start": x, "stop": y} for x, y in zip(a[first].tolist(), b[np.r_[first[1:], True]].tolist())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], names=["k", "spans"])
+
+
 def text_spans(documents: DataFrame, span: int = SPAN, **kw: int) -> DataFrame:
     """(k, spans): the maximal shared stretches of each text that has any, touching stretches merged."""
     texts = distinct_texts(documents, span)
-    found = matches(texts, span, **kw).where("k is not null").select("k", "start", "stop")
+    found = shared_stretches(texts, span, **kw)
     copied = texts.where("copies > 1").select("k", F.lit(0).alias("start"), F.length("text").alias("stop"))
-    grouped = found.unionByName(copied).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("s"))
-    merged = F.expr(
-        "aggregate(s, cast(array() as array<struct<start:int,stop:int>>), (acc, x) -> "
-        "if(size(acc) > 0 and x.start <= element_at(acc, -1).stop, "
-        "concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).stop, x.stop) as stop))), "
-        "concat(acc, array(struct(x.start as start, x.stop as stop)))))"
-    )
-    return grouped.select("k", merged.alias("spans"))
+    grouped = found.unionByName(copied).groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("s")).select("k", F.col("s.start").alias("a"), F.col("s.stop").alias("b"))
+    return grouped.mapInArrow(_merged, "k binary, spans array<struct<start:int,stop:int>>")
 
 
 def document_spans(documents: DataFrame, span: int = SPAN, **kw: int) -> DataFrame:
