@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import collections as C
 from tidemark.functions import text as T
 from tidemark.functions import times
-from tidemark.functions.distance import restricted_distance, restricted_distance_col
+from tidemark.functions.distance import restricted_distance, restricted_distance_col, within_one_edit
 
 
 def column(spark, values, make, kind="string"):
@@ -79,3 +79,17 @@ def test_distance(a, b):
 def test_distance_column(spark):
     df = spark.createDataFrame([("ca", "abc"), ("ab", "ba"), (None, "a"), ("第一", "第一銅")], "a string, b string")
     assert [r[0] for r in df.select(restricted_distance_col("a", "b")).collect()] == [3, 1, None, 1]
+
+
+def test_distance_column_equals_the_definition(spark):
+    import itertools
+    import random
+
+    rng = random.Random(1)
+    words = ["", "a", "ab", "ba", "abab", "甲乙", "乙甲", "😀a", "a😀"] + ["".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    pairs = list(itertools.product(words, words))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    rows = df.select("a", "b", restricted_distance_col("a", "b").alias("d"), within_one_edit(F.col("a"), F.col("b")).alias("near")).collect()
+    assert len(rows) == len(pairs)
+    for r in rows:
+        assert r.d == restricted_distance(r.a, r.b) and r.near == (r.d <= 1), r
