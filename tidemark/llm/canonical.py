@@ -22,10 +22,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.collections import json_items
-from tidemark.functions.distance import restricted_distance_col
+from tidemark.functions.distance import within_one_edit
 from tidemark.llm.forms import fold
 from tidemark.session import materialize
 
@@ -37,9 +37,6 @@ MAX_EDITS = 1
 SHORT, SHORT_THRESHOLD = 5, 0.25
 CODE, NAME, NICKNAME, NICKNAME_FOLDED = "code", "name", "nickname", "nickname_folded"
 
-# Simplified characters common in names, each before its traditional form.
-SIMPLIFIED = "网網电電萤螢铃鈴鹭鷺鸽鴿锚錨枫楓枣棗驼駝鹊鵲箫簫鳟鱒蝉蟬钵缽鲭鯖瓮甕峦巒涧澗优優选選铎鐸莺鶯鲤鯉鳗鰻鲈鱸鸢鳶鹳鸛鹤鶴导導实實业業强強东東华華国國证證权權债債龙龍马馬鸟鳥鱼魚风風云雲汉漢湾灣万萬义義亚亞产產伟偉关關兴興农農创創动動医醫厂廠发發园園场場坚堅宁寧宝寶宾賓寿壽层層岛島屿嶼岚嵐开開无無时時显顯机機杨楊极極构構标標树樹桥橋楼樓欢歡气氣济濟润潤涨漲渔漁温溫满滿滨濱灵靈炉爐点點热熱环環现現玛瑪琼瓊盘盤码碼础礎离離积積稳穩笔筆简簡粮糧纸紙纳納线線组組织織经經结結绿綠罗羅联聯药藥莱萊营營蓝藍讯訊设設谷穀贝貝财財货貨质質贸貿资資车車轮輪软軟辉輝达達运運远遠连連郑鄭银銀销銷锋鋒锐銳长長门門间間闻聞阳陽陈陳雾霧韩韓顺順飞飛驰馳骏駿鸡雞鸿鴻麦麥黄黃齐齊龟龜鸥鷗"
-_TRADITIONAL = {ord(a): b for a, b in zip(SIMPLIFIED[::2], SIMPLIFIED[1::2])}
 # Words round a name or code, particles after one.
 _COMPANY = ("股份有限公司", "有限公司", "公司")
 _PARTICLES = "啦吧喔啊耶呢哦囉"
@@ -47,6 +44,17 @@ _CODE = re.compile(r"(?<![0-9A-Za-z.])([0-9Oo]{4,6}[A-Za-z]?)(?![0-9A-Za-z])")
 _TRIM = re.compile(r"^[\W_]+|[^\w+]+$")
 _LOOSE = re.compile(r"[\s\-_.·]+")
 _fold = lru_cache(70_000)(fold)
+#: The blocks whose characters have simplified forms.
+_IDEOGRAPHS = range(0x3400, 0xA000)
+
+
+def simplified(spark: SparkSession) -> dict[int, str]:
+    """The simplified form of each ideograph that has one, by the public transliteration rules that come with Spark (the
+    ICU library). Both sides are read in simplified form, as several traditional characters may share one. The table has
+    about 3,000 entries, whatever the input."""
+    rules = spark.sparkContext._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified")
+    chars = [chr(c) for c in _IDEOGRAPHS]
+    return {ord(a): b for a, b in zip(chars, rules.transliterate("\n".join(chars)).split("\n")) if a != b and len(b) == 1}
 
 
 def typed_values(comments: DataFrame) -> DataFrame:
@@ -61,7 +69,7 @@ def typed_values(comments: DataFrame) -> DataFrame:
 
 
 def _plain(text: str) -> str:
-    return unicodedata.normalize("NFC", "".join(map(_fold, text))).translate(_TRADITIONAL).strip()
+    return unicodedata.normalize("NFC", "".join(map(_fold, text))).strip()
 
 
 def name_reading(text: str) -> str:
@@ -87,7 +95,7 @@ def readings(value: str) -> list[tuple[str, str]]:
         text = code.group(1).upper()
         out.append((CODE, text[:-1].replace("O", "0") + (text[-1] if len(text) > 4 and text[-1] != "O" else text[-1].replace("O", "0"))))
         rest = plain[: code.start()] + " " + plain[code.end() :]
-        rest = re.sub(r"代號|號|\.TW\b", "", rest)
+        rest = re.sub(r"代號|代号|號|号|\.TW\b", "", rest)
     else:
         joined = re.match(r"^[^0-9]{0,3}?([0-9]{4,6}[A-Z]?)([^0-9A-Za-z+].*)$", plain)
         if joined:
@@ -114,17 +122,24 @@ def tokens(text: str) -> list[str]:
     return sorted(set(out) | {ends[i : i + 2] for i in range(len(ends) - 1)})
 
 
-def _value_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [(v, n, kind, text, tokens(text)) for v, n in zip(pdf["value"], pdf["n"]) for kind, text in readings(v)]
-        yield pd.DataFrame(rows, columns=["value", "n", "kind", "reading", "tokens"])
+def _value_rows(table: dict[int, str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(v, n, kind, text, tokens(text)) for v, n in zip(pdf["value"], pdf["n"]) for kind, text in readings(v.translate(table))]
+            yield pd.DataFrame(rows, columns=["value", "n", "kind", "reading", "tokens"])
+
+    return run
 
 
-def _entry_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _entry_rows(table: dict[int, str]):
     make = {CODE: lambda t: t.strip().upper(), NAME: name_reading, NICKNAME: nickname_reading, NICKNAME_FOLDED: lambda t: nickname_reading(t).upper()}
-    for pdf in batches:
-        made = [(no, kind, make[kind](text)) for no, kind, text in zip(pdf["stock_no"], pdf["kind"], pdf["text"])]
-        yield pd.DataFrame([(no, kind, text, tokens(text)) for no, kind, text in made if text], columns=["stock_no", "kind", "entry", "tokens"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [(no, kind, make[kind](text.translate(table))) for no, kind, text in zip(pdf["stock_no"], pdf["kind"], pdf["text"])]
+            yield pd.DataFrame([(no, kind, text, tokens(text)) for no, kind, text in made if text], columns=["stock_no", "kind", "entry", "tokens"])
+
+    return run
 
 
 def entries(targets: DataFrame, nicknames: DataFrame) -> DataFrame:
@@ -169,15 +184,18 @@ def similar(values: DataFrame, reference: DataFrame, threshold: float = THRESHOL
     swapped = (F.size("tokens") <= SHORT) & (F.size("tokens_y") <= SHORT) & (F.array_sort(F.split("reading", "")) == F.array_sort(F.split("entry", "")))
     exact = F.when(F.col("kind") == NAME, (jaccard >= threshold - 1e-9) | swapped).otherwise(F.col("reading") == F.col("entry"))
     pairs = pairs.where(exact).select("kind", "reading", "entry", jaccard.alias("jaccard"))
-    pairs = pairs.withColumn("edits", F.when(F.col("reading") == F.col("entry"), 0).otherwise(restricted_distance_col("reading", "entry")))
+    # All that counts below is whether there are none, one or more edits.
+    edits = F.when(F.col("reading") == F.col("entry"), 0).when(within_one_edit(F.col("reading"), F.col("entry")), 1).otherwise(2)
+    pairs = pairs.withColumn("edits", edits)
     return values.select("value", "n", "kind", "reading").join(pairs, ["kind", "reading"]).join(reference.select("stock_no", "kind", "entry"), ["kind", "entry"])
 
 
 def matched(counted: DataFrame, targets: DataFrame, nicknames: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(value, n) to (value, stock_no) of the values that stand for a stock."""
+    table = simplified(counted.sparkSession)
     # Both sides and the pairs are used several times; without a cut each use would repeat the work before it.
-    values = materialize(counted.mapInPandas(_value_rows, "value string, n bigint, kind string, reading string, tokens array<string>"))
-    reference = materialize(entries(targets, nicknames).mapInPandas(_entry_rows, "stock_no string, kind string, entry string, tokens array<string>"))
+    values = materialize(counted.mapInPandas(_value_rows(table), "value string, n bigint, kind string, reading string, tokens array<string>"))
+    reference = materialize(entries(targets, nicknames).mapInPandas(_entry_rows(table), "stock_no string, kind string, entry string, tokens array<string>"))
     pairs = materialize(similar(values, reference, threshold).where((F.col("kind") != NAME) | (F.col("edits") <= MAX_EDITS)))
     named = pairs.where(F.col("kind") == CODE).groupBy("stock_no").agg(F.sum("n").alias("named"))
     level = (
@@ -199,6 +217,8 @@ def resolved(comments: DataFrame, targets: DataFrame, nicknames: DataFrame, thre
     typed = typed_values(comments)
     counted = typed.select(F.explode(F.array("value", "other")).alias("value")).where("value is not null and value <> ''").groupBy("value").agg(F.count("*").alias("n"))
     known = materialize(matched(counted, targets, nicknames, threshold))
+    # Values without a second reading take their first again, so that no task gets all rows that have none.
+    typed = typed.withColumn("other", F.coalesce("other", "value"))
     first = typed.join(known, "value", "left").withColumnRenamed("stock_no", "by_value")
     both = first.join(known.withColumnsRenamed({"value": "other", "stock_no": "by_other"}), "other", "left")
     return both.select("comment_id", "target_pos", F.coalesce("by_value", "by_other", F.lit("")).alias("stock_no"))
