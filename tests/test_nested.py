@@ -108,3 +108,30 @@ def test_batches_meta_and_unknown_fields_are_kept():
     assert ident([a], [b]) != ident([b], [a])
     generic = lambda v: N.identify(N.generic_tree({"k": v}))[0][3]
     assert generic([[1], [2]]) != generic([[2], [1]])
+
+
+def test_deep_replies_and_fields_are_walked_without_recursion(spark):
+    def replies(depth):
+        return "".join(f'{{"pos":{i},"stock_targets":["t"],"replies":[' for i in range(depth)) + "]}" * depth
+
+    for depth in (500, 2000):
+        tree = N.comment_nodes([{"pos": 0, "stock_targets": ["a"]}], "comments", -1, False)
+        assert len(tree) == 1
+        deep = {"pos": depth, "stock_targets": ["t"]}
+        for i in range(depth - 1, -1, -1):
+            deep = {"pos": i, "stock_targets": ["t"], "replies": [deep], "odd": {"x": [[1]]}}
+        nodes, seen = N.comment_nodes([deep], "comments", -1, False), 0
+        while nodes:
+            assert nodes[0].comment_pos == seen and nodes[0].parent_pos == seen - 1
+            seen += 1
+            nodes = [n for n in nodes[0].children if n.role == "comment"]
+        assert seen == depth + 1
+    value = {"x": 1}
+    for _ in range(50_000):
+        value = {"child": value}
+    assert len(N.identify(N.generic_tree(value))) == 50_001
+    payloads = ['{"comments":[' + replies(d) + "]}" for d in (200, 2000, 100_000)] + ['{"comments":[{"pos":0,"stock_targets":["ok"]}]}']
+    got = found(spark, payloads)
+    assert [r for r in got if r[0] == 0] == [(0, i - 1, i, 0, "t") for i in range(200)]
+    assert len([r for r in got if r[0] == 1]) in (0, 2000)  # as deep as the decoder reads
+    assert not [r for r in got if r[0] == 2] and [r for r in got if r[0] == 3] == [(3, -1, 0, 0, "ok")]

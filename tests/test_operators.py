@@ -103,6 +103,36 @@ def test_numbered(spark):
     assert upsert.numbered(df.limit(0), "k", "n").count() == 0
 
 
+@pytest.mark.parametrize("conf", [{}, {"spark.sql.adaptive.enabled": "false"}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}])
+def test_numbered_keeps_many_wide_rows(spark, conf):
+    n = 400_000
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(0, n, 1, 16).select(F.md5(F.col("id").cast("string")).alias("k"), *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(i)), 256).alias(f"w{i}") for i in range(3)])
+        out = upsert.numbered(df, "k", "n").selectExpr("count(*) as c", "count(distinct n) as d", "min(n) as a", "max(n) as z").first()
+        assert tuple(out) == (n, n, 1, n)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_stored_hash_is_that_of_json_with_sorted_keys(spark):
+    import hashlib
+    import json
+
+    comments = [{"comment_score": 1, "commenter": "a", "comment": '漲"😀\\\n/x\t\x7f\x01', "comment_time": "2024-06-01 08:00"}, {"comment_score": None, "commenter": None, "comment": "", "comment_time": None}]
+    rows = [("http://x/1", "甲", "[標的] 😀", datetime(2024, 6, 1, 8, 0, 7), "line\r\n二", "1.2.3.4", "Unknown", comments, "200"), ("l", None, None, None, None, None, None, [], "502")]
+    fields = [f for f in upsert.HASHED]
+    schema = "paragraph_link string, paragraph_author string, paragraph_title string, paragraph_published_time timestamp_ntz, paragraph_content string, paragraph_ip string, paragraph_country string, comments array<struct<comment_score int, commenter string, comment string, comment_time string>>, status string"
+    df = spark.createDataFrame(rows, schema)
+    got = [r[0] for r in df.select(upsert.stored_hash(df)).collect()]
+    for row, h in zip(rows, got):
+        data = dict(zip(fields, row)) | {"paragraph_published_time": row[3] and row[3].strftime("%Y-%m-%d %H:%M:%S")}
+        assert h == hashlib.md5(json.dumps(data, sort_keys=True).encode()).hexdigest()
+
+
 @pytest.mark.parametrize("count", [0, 1, 44, 45, 46, 90, 91])
 def test_batches_and_back(spark, count):
     articles, _ = frames(spark, [(1, None, [comment(i, None, None, False, f"看好{i}") for i in range(count)], None, False), (2, None, None, None, False)])

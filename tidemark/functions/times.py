@@ -31,5 +31,7 @@ def or_default(time: Column) -> Column:
 
 
 def carried_forward(time: Column, page: str, *order: str) -> Column:
-    """The last known time of the same page up to this row."""
-    return F.last(time, ignorenulls=True).over(Window.partitionBy(page).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    """The last known time of the same page up to this row. Rows without a page keep their own time: they have no order
+    among each other, and would all meet in one task."""
+    own = F.when(F.col(page).isNull(), F.struct(*order))
+    return F.last(time, ignorenulls=True).over(Window.partitionBy(page, own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

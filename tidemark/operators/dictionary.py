@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: A lookup side is broadcast only up to this many rows; a larger one joins by shuffle.
 BROADCAST_ROWS = 200_000
+#: And only up to so many characters of its rows as text.
+BROADCAST_CHARS = 64_000_000
 
 
 def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast where a bounded count proves the side small, leave the choice to Spark otherwise."""
-    return F.broadcast(frame) if len(frame.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else frame
+    size = F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))
+    n, chars = frame.limit(rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(frame) if n <= rows and chars <= BROADCAST_CHARS else frame
 
 
 def name_lookup(targets: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def typed_targets(frame: DataFrame, *keys: str) -> DataFrame:
 def resolved_targets(frame: DataFrame, targets: DataFrame, *keys: str) -> DataFrame:
     """keys, target_pos, stock_no, stock_name of the elements that name a stock exactly."""
     lookup = small(token_lookup(targets))
-    typed = typed_targets(frame, *keys)
+    # Without a second token the first is looked up again, so that no task gets all rows that have none.
+    typed = typed_targets(frame, *keys).withColumn("other", F.coalesce("other", "token"))
     a = lookup.select("token", F.col("stock_no").alias("no_a"), F.col("stock_name").alias("name_a"))
     b = lookup.select(F.col("token").alias("other"), F.col("stock_no").alias("no_b"), F.col("stock_name").alias("name_b"))
     found = typed.join(a, "token", "left").join(b, "other", "left").withColumns({"stock_no": F.coalesce("no_a", "no_b"), "stock_name": F.when(F.col("no_a").isNotNull(), F.col("name_a")).otherwise(F.col("name_b"))})
@@ -125,7 +126,7 @@ def mood_ranking(articles: DataFrame, targets: DataFrame, bullish: bool, top: in
 
 def supporting_comments(articles: DataFrame, targets: DataFrame, stocks: DataFrame, each: int = 3) -> DataFrame:
     """For each stock of a ranking, its strongest comments: top ``each`` by distance of sentiment from 0."""
-    found = mentions(articles, targets).join(F.broadcast(stocks.select("stock_no")), "stock_no")
+    found = mentions(articles, targets).join(small(stocks.select("stock_no")), "stock_no")
     texts = exploded(articles, ("pos", "comment"))
     ranked = found.withColumn("rank", F.expr("row_number() over (partition by stock_no order by abs(sent_c) desc, id, pos)")).where(F.col("rank") <= each)
     return ranked.join(texts, ["id", "pos"]).select("stock_no", "rank", "id", "pos", "comment", "sent_c")

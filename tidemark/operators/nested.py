@@ -6,7 +6,8 @@ canonical body, in which children appear by their own identities, so two subtree
 
 Defined results for odd input: a null, empty or invalid payload gives no row, as does one that is no object. Text in
 place of a list of comments is decoded first. Repeated keys in an object keep the last value. A lone surrogate becomes
-U+FFFD. Payloads nested deeper than the decoder's limit count as invalid. Further columns of the input are ignored.
+U+FFFD. Replies and unknown fields may nest to any depth the decoder reads; a payload deeper than its limit, or with a
+target too deep to be encoded again, counts as invalid. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -88,24 +89,28 @@ def generic_tree(value: Any, role: str = "record", name: str = "", ordinal: int
         return None
     node = Node(role, name, ordinal, {})
     for key, child in value.items():
-        _generic_child(node, key, child, 0, [])
+        _generic_child(node, key, child)
     return node
 
 
-def _generic_child(node: Node, key: str, child: Any, ordinal: int, path: list[int]) -> None:
-    if isinstance(child, dict):
-        made = generic_tree(child, key, key, ordinal)
-        if made is not None:
+def _generic_child(node: Node, key: str, child: Any) -> None:
+    """Put a value below a node, with a stack instead of recursion, as input decides the depth."""
+    todo: list[tuple[Node, str, Any, int, tuple[int, ...]]] = [(node, key, child, 0, ())]
+    while todo:
+        node, key, child, ordinal, path = todo.pop()
+        if isinstance(child, dict):
+            made = Node(key, key, ordinal, {})
             node.children.append(made)
-    elif isinstance(child, list):
-        if not child and node.scalars is not None and not path:
-            node.scalars[key] = []
-        for i, item in enumerate(child):  # a list in a list has its place in its name, so places stay different
-            _generic_child(node, f"{key}[{i}]" if isinstance(item, list) else key, item, i, [*path, i])
-    elif path:
-        node.children.append(Node(key, key, ordinal, None, scalar_text(child)))
-    elif node.scalars is not None:
-        node.scalars[key] = child
+            todo += [(made, k, v, 0, ()) for k, v in reversed(child.items())]
+        elif isinstance(child, list):
+            if not child and node.scalars is not None and not path:
+                node.scalars[key] = []
+            # A list in a list has its place in its name, so places stay different.
+            todo += [(node, f"{key}[{i}]" if isinstance(item, list) else key, item, i, (*path, i)[-2:]) for i, item in reversed(list(enumerate(child)))]
+        elif path:
+            node.children.append(Node(key, key, ordinal, None, scalar_text(child)))
+        elif node.scalars is not None:
+            node.scalars[key] = child
 
 
 def _as_int(value: Any) -> int | None:
@@ -121,7 +126,7 @@ def _as_int(value: Any) -> int | None:
 def _loose(key: str, child: Any) -> list[Node]:
     """The nodes of a nested field that no rule reads; they never pass for targets or comments."""
     holder = Node("", "", 0, {})
-    _generic_child(holder, key, child, 0, [])
+    _generic_child(holder, key, child)
     todo = list(holder.children)
     while todo:
         node = todo.pop()
@@ -146,40 +151,50 @@ def target_nodes(targets: Any, parent_pos: int, comment_pos: int) -> list[Node]:
     return nodes
 
 
-def comment_nodes(comments: Any, name: str, parent_pos: int, encoded: bool, depth: int = 0) -> list[Node]:
-    """Comments of a list, of an object keyed by position, or of the text of either; replies nest below them."""
-    if isinstance(comments, str):
-        comments = decode(comments)
-    if isinstance(comments, dict):
-        entries = list(comments.items())
-    elif isinstance(comments, list):
-        entries = [(None, item) for item in comments]
-    else:
-        return []
-    nodes = []
-    for i, (key, item) in enumerate(entries):
-        if not isinstance(item, dict):
-            continue
-        pos = _as_int(item.get("pos"))
-        if pos is None:
-            pos = _as_int(key) if key is not None else i
-        pos = i if pos is None else pos
-        analysis = item.get("analysis")
-        known = ("stock_targets", "replies", *(["analysis"] if isinstance(analysis, dict) else []))
-        node = Node("comment", name, i, _known_scalars(item, known), None, parent_pos, pos)
-        targets = item.get("stock_targets")
-        node.children += target_nodes(decode(targets) if encoded and isinstance(targets, str) else targets, parent_pos, pos)
-        if isinstance(analysis, dict):
-            own = "stock_targets" in item  # then those of the analysis aren't the comment's, and stay with it
-            for made in _loose("analysis", {k: v for k, v in analysis.items() if own or k != "stock_targets"}):
-                made.parent_pos, made.comment_pos = parent_pos, pos
-                node.children.append(made)
-            if not own:
-                node.children += target_nodes(analysis.get("stock_targets"), parent_pos, pos)
-        node.children += comment_nodes(item.get("replies"), "replies", pos, encoded, depth + 1)
-        _unknown(node, item, known)
-        nodes.append(node)
-    return nodes
+def comment_nodes(comments: Any, name: str, parent_pos: int, encoded: bool) -> list[Node]:
+    """Comments of a list, of an object keyed by position, or of the text of either; replies nest below them, to any
+    depth, so they are walked with a stack."""
+    top: list[Node] = []
+    todo: list[tuple[Any, str, int, list[Node]]] = [(comments, name, parent_pos, top)]
+    joined: list[tuple[Node, list[Node], list[Node]]] = []
+    while todo:
+        value, name, parent, into = todo.pop()
+        if isinstance(value, str):
+            value = decode(value)
+        entries = value.items() if isinstance(value, dict) else ((None, item) for item in value) if isinstance(value, list) else ()
+        for i, (key, item) in enumerate(entries):
+            if not isinstance(item, dict):
+                continue
+            node, known = _comment(key, item, name, i, parent, encoded)
+            replies, rest = [], Node("", "", 0, {})
+            _unknown(rest, item, known)
+            todo.append((item.get("replies"), "replies", node.comment_pos, replies))
+            joined.append((node, replies, rest.children))
+            into.append(node)
+    for node, replies, rest in joined:
+        node.children += replies + rest
+    return top
+
+
+def _comment(key: str | None, item: dict, name: str, i: int, parent_pos: int, encoded: bool) -> tuple[Node, Sequence[str]]:
+    """The node of one comment with its targets, and the fields that have rules of their own."""
+    pos = _as_int(item.get("pos"))
+    if pos is None:
+        pos = _as_int(key) if key is not None else i
+    pos = i if pos is None else pos
+    analysis = item.get("analysis")
+    known = ("stock_targets", "replies", *(["analysis"] if isinstance(analysis, dict) else []))
+    node = Node("comment", name, i, _known_scalars(item, known), None, parent_pos, pos)
+    targets = item.get("stock_targets")
+    node.children += target_nodes(decode(targets) if encoded and isinstance(targets, str) else targets, parent_pos, pos)
+    if isinstance(analysis, dict):
+        own = "stock_targets" in item  # then those of the analysis aren't the comment's, and stay with it
+        for made in _loose("analysis", {k: v for k, v in analysis.items() if own or k != "stock_targets"}):
+            made.parent_pos, made.comment_pos = parent_pos, pos
+            node.children.append(made)
+        if not own:
+            node.children += target_nodes(analysis.get("stock_targets"), parent_pos, pos)
+    return node, known
 
 
 def article_target_nodes(targets: Any) -> list[Node]:
@@ -252,6 +267,14 @@ def identify(root: Node) -> list[tuple[Node, int, int, str, str]]:
     return [(node, i, parent, *made[i]) for i, (node, parent) in enumerate(order)]
 
 
+def _occurrences(text: str | None, tree: Callable[[Any], Node | None]) -> list[tuple[Node, int, int, str, str]]:
+    try:
+        root = tree(decode(text))
+        return [] if root is None else identify(root)
+    except RecursionError:  # an object inside a target that the encoder finds too deep
+        return []
+
+
 def shred(
     frame: DataFrame, src: str, record_id: Column, payload: Column, tree: Callable[[Any], Node | None] = forum_tree, roles: Sequence[str] | None = None
 ) -> DataFrame:
@@ -263,10 +286,7 @@ def shred(
         seen: set[str] = set()
         for batch in batches:
             for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                root = tree(decode(text))
-                if root is None:
-                    continue
-                for node, at, parent, ident, body in identify(root):
+                for node, at, parent, ident, body in _occurrences(text, tree):
                     if roles is not None and node.role not in roles:
                         continue
                     first = ident not in seen
@@ -304,17 +324,14 @@ def resolve(occurrences: DataFrame, store: DataFrame, salts: int = 8) -> DataFra
 
 
 def target_rows(shredded: DataFrame) -> DataFrame:
-    """One row per stock target with the keys of comment and parent comment; texts of objects come from the store."""
-    # Used three times below: written once, so payloads are parsed once.
+    """One row per stock target with the keys of comment and parent comment. All texts, those of scalars too, come from
+    the object store: they are read from each distinct body once and joined to the occurrences."""
+    # Used twice below: written once, so payloads are parsed once.
     shredded = materialize(shredded.where(F.col("role").isin(*TARGET_ROLES)))
-    found = bridges(shredded)
-    plain = found.where(F.col("value").isNotNull()).withColumn("target_text", F.col("value"))
-    store = objects(shredded.where(F.col("value").isNull()))
-    keyed = resolve(found.where(F.col("value").isNull()), store)
-    first = F.coalesce(F.get_json_object("body", "$.first"), F.map_keys(F.from_json(F.get_json_object("body", "$.scalars"), "map<string,string>"))[0])
-    keyed = keyed.withColumn("target_text", first).drop("body")
-    columns = ["src", "record_id", "parent_pos", "comment_pos", "target_pos", "target_text"]
-    return plain.select(*columns).unionByName(keyed.select(*columns))
+    body = F.col("body")
+    first = F.coalesce(F.get_json_object(body, "$.first"), F.map_keys(F.from_json(F.get_json_object(body, "$.scalars"), "map<string,string>"))[0])
+    store = objects(shredded).select("object_id", F.coalesce(F.get_json_object(body, "$.value"), first).alias("target_text"))
+    return resolve(bridges(shredded), store).select("src", "record_id", "parent_pos", "comment_pos", "target_pos", "target_text")
 
 
 def comment_rows(shredded: DataFrame) -> DataFrame:

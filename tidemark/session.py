@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -29,9 +30,12 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **extra:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder under the warehouse only where none is set (tests)."""
+    """The shared folder the cluster names. Where none is set, a folder under the warehouse serves a local master (tests);
+    on a cluster that is an error, as executors wouldn't see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return named.rstrip("/")
 
@@ -50,9 +54,11 @@ def share_package(spark: SparkSession) -> None:
 def materialize(frame: DataFrame) -> DataFrame:
     """Cut the lineage: write the frame as a table in the shared checkpoint folder and read it from there.
 
-    The copy survives lost executors, and its known size lets Spark choose joins.
+    The copy survives lost executors, and its known size lets Spark choose joins. It is deleted when the session ends.
     """
     spark = frame.sparkSession
     path = f"{checkpoint_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(frame.schema).parquet(path)

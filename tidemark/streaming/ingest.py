@@ -1,16 +1,19 @@
-"""Scraped articles as a stream: each micro-batch is classified against the newest version of the table and applied."""
+"""Scraped articles as a stream: each micro-batch is classified against the buckets of the table it touches and applied."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidemark.operators.upsert import applied
 
 _VERSION = "v={:012d}"
+#: Parts of the table; a batch rewrites those it touches. Stored tables keep the number they were made with.
+BUCKETS = 64
 
 
 def versions(spark: SparkSession, root: str) -> list[int]:
@@ -28,20 +31,47 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(found)
 
 
-def read_current(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
-    found = versions(spark, root)
-    return spark.read.schema(schema).parquet(f"{root}/{_VERSION.format(found[-1])}") if found else spark.createDataFrame([], schema)
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("paragraph_link"), F.lit(BUCKETS)).cast("int")
+
+
+def _layout(spark: SparkSession, root: str, upto: int | None = None) -> tuple[str | None, dict[int, str]]:
+    """The newest folder of each bucket, and that of a version without buckets for those that none has replaced since."""
+    jvm = spark.sparkContext._jvm
+    base, newest = None, {}
+    for version in versions(spark, root):
+        if upto is None or version <= upto:
+            path = jvm.org.apache.hadoop.fs.Path(f"{root}/{_VERSION.format(version)}")
+            names = [item.getPath().getName() for item in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
+            if any(name.endswith(".parquet") for name in names):
+                base, newest = str(path), {}
+            newest |= {int(name[2:]): f"{path}/{name}" for name in names if name.startswith("b=")}
+    return base, newest
+
+
+def read_current(spark: SparkSession, root: str, schema: StructType, buckets: Sequence[int] | None = None, upto: int | None = None) -> DataFrame:
+    """The table as of a version, whole or some buckets of it."""
+    base, newest = _layout(spark, root, upto)
+    paths = [path for b, path in sorted(newest.items()) if buckets is None or b in buckets]
+    found = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    if base:
+        old = spark.read.schema(schema).parquet(base).where(~_bucket().isin(*newest) if newest else F.lit(True))
+        found = found.unionByName(old if buckets is None else old.where(_bucket().isin(*buckets)))
+    return found
 
 
 def upsert_stream(batches: DataFrame, root: str, schema: StructType, checkpoint: str, order: str = "seq") -> StreamingQuery:
-    """Run through what has arrived and stop. A batch writes version batch_id + 1 as a whole; a repeated batch writes the
-    same version again from the one before it, so a restart changes nothing."""
+    """Run through what has arrived and stop. The table lies in ``BUCKETS`` parts by hash of the link, and a batch writes
+    only the buckets it touches, as version batch_id + 1; a repeated batch writes the same version again from those before
+    it, so a restart changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [v for v in versions(spark, root) if v <= number]
-        stored = spark.read.schema(schema).parquet(f"{root}/{_VERSION.format(before[-1])}") if before else spark.createDataFrame([], schema)
-        applied(stored, batch, order).write.mode("overwrite").parquet(f"{root}/{_VERSION.format(number + 1)}")
+        touched = [r[0] for r in batch.where("paragraph_link is not null").select(_bucket()).distinct().collect()]  # BUCKETS at most
+        stored = read_current(spark, root, schema, touched, number)
+        top = read_current(spark, root, schema, None, number).agg(F.max("id")).first()[0] or 0
+        made = applied(stored, batch, order, top).withColumn("b", _bucket())
+        made.repartition(max(1, len(touched)), "b").write.mode("overwrite").partitionBy("b").parquet(f"{root}/{_VERSION.format(number + 1)}")
 
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
