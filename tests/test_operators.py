@@ -190,9 +190,17 @@ def test_known_similarities_and_context(spark):
     entries = spark.createDataFrame([("1", "name", "第一銅"), ("2", "name", "台灣大"), ("3", "nickname", "GG"), ("4", "nickname", "gg")], "stock_no string, kind string, entry string")
     best = entities.best_matches(entities.fuzzy_pairs(tokens, entries, {"name": 0.65, "nickname": 0.65}))
     assert {r.token: (r.stock_no, round(r.similarity, 4)) for r in best.collect()} == {"第一": ("1", 0.6667), "台灣": ("2", 0.6667), "GG": ("3", 1.0)}
-    dataset = spark.createDataFrame([("1", "第一銅", "copper"), ("3", "Three", None)], "stock_no string, stock_name string, business_scope string")
-    lines = entities.context_lines(best.withColumn("key", F.lit(1)), dataset).first().context.split("\n")
-    assert "GG: similar to the nickname GG of Three (3), 100.00 %" in lines and "第一銅 (1): copper" in lines
+    dataset = spark.createDataFrame([("1", "第一銅", "copper", "{}"), ("3", "Three", None, None)], "stock_no string, stock_name string, business_scope string, competitor string")
+    nicks = spark.createDataFrame([("3", "GG", "sounds alike"), ("3", "other", "x"), (None, "GG", "y")], "stock_no string, stock_nickname string, nickname_explain string")
+    keys = spark.createDataFrame([(1,), (2,)], "key int")
+    context = {r.key: r.context for r in entities.context_lines(best.withColumn("key", F.lit(1)), dataset, nicks, keys).collect()}
+    lines = context[1].split("\n")
+    assert "GG: similar to the nickname GG of Three (3), 100.00 % (sounds alike)" in lines and "第一銅 (1): copper" in lines
+    assert "第一: similar to the name 第一銅 (1), 66.67 %" in lines and not [x for x in lines if x.startswith("Three")] and context[2] == entities.NO_MATCH
+    comments = spark.createDataFrame([(1, "GG"), (2, None)], "id int, t string")
+    scorer = lambda pairs: [(float(len(t)), c.split("\n")[:1]) for t, c in pairs]
+    got = {r.id: (r.stock_sentiment, r.stock_targets[0]) for r in entities.scored_with_context(comments, spark.createDataFrame(list(context.items()), "key int, context string"), scorer, "id", "t").collect()}
+    assert got[1][0] == 2.0 and got[2] == (0.0, entities.NO_MATCH)
 
 
 def test_contained_finds_overlapping_names(spark):

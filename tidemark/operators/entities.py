@@ -12,6 +12,8 @@ from tidemark.functions.text import plain_tokens
 
 #: Lists up to this size are matched by an automaton on every worker; larger ones by joining substrings.
 AUTOMATON_NAMES = 200_000
+#: What a scorer is told about a comment that names nothing.
+NO_MATCH = "No listed company matches."
 
 
 def contained(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
@@ -124,21 +126,51 @@ def best_matches(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("token").agg(F.min_by(F.struct("stock_no", "kind", "entry", "similarity"), rank).alias("m")).select("token", "m.*")
 
 
-def context_lines(matches: DataFrame, dataset: DataFrame) -> DataFrame:
-    """(comment key, context): for each matched token a line by kind of match, then the companies' introductions.
+def context_lines(matches: DataFrame, dataset: DataFrame, nicknames: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """(key, context): for each matched token a line by kind of match, then the introductions of those companies that have
+    a competitor. Similarities are in per cent, rounded half to even. ``keys``: all keys wanted; those without a match say so.
 
-    matches: key, token, stock_no, kind, entry, similarity; dataset: stock_no, stock_name, business_scope.
+    matches: key, token, stock_no, kind, entry, similarity; dataset: stock_no, stock_name, business_scope, competitor;
+    nicknames: stock_no, stock_nickname, nickname_explain.
     """
-    percent = F.format_string("%.2f", F.round(F.col("similarity") * 100, 2))
-    names = matches.join(dataset.select("stock_no", "stock_name", "business_scope").dropDuplicates(["stock_no"]), "stock_no", "left")
+    percent = F.format_string("%.2f", F.bround(F.col("similarity") * 100, 2))
+    known = dataset.select("stock_no", "stock_name", "business_scope", "competitor").dropDuplicates(["stock_no"])
+    names = matches.join(known, "stock_no", "left")
+    if nicknames is not None:
+        why = nicknames.where("stock_no is not null").groupBy("stock_no", F.col("stock_nickname").alias("entry")).agg(F.min("nickname_explain").alias("why"))
+        names = names.join(why, ["stock_no", "entry"], "left")
+    else:
+        names = names.withColumn("why", F.lit(None).cast("string"))
+    because = F.when(F.col("why").isNull(), "").otherwise(F.concat(F.lit(" ("), F.col("why"), F.lit(")")))
     line = (
-        F.when(F.col("kind") == "nickname", F.format_string("%s: similar to the nickname %s of %s (%s), %s %%", "token", "entry", "stock_name", "stock_no", percent))
+        F.when(F.col("kind") == "nickname", F.format_string("%s: similar to the nickname %s of %s (%s), %s %%%s", "token", "entry", "stock_name", "stock_no", percent, because))
         .when(F.col("kind") == "code", F.format_string("%s: similar to the code of %s (%s), %s %%", "token", "stock_name", "stock_no", percent))
         .otherwise(F.format_string("%s: similar to the name %s (%s), %s %%", "token", "entry", "stock_no", percent))
     )
-    about = F.format_string("%s (%s): %s", "stock_name", "stock_no", F.coalesce("business_scope", F.lit("")))
+    about = F.when(F.col("competitor").isNotNull(), F.format_string("%s (%s): %s", "stock_name", "stock_no", F.coalesce("business_scope", F.lit(""))))
     per = names.select("key", "token", "stock_no", line.alias("line"), about.alias("about")).groupBy("key").agg(
         F.array_sort(F.collect_set(F.struct("token", "stock_no", "line"))).alias("l"), F.array_sort(F.collect_set(F.struct("stock_no", "about"))).alias("a")
     )
     text = F.concat_ws("\n", F.transform("l", lambda x: x["line"]), F.transform("a", lambda x: x["about"]))
-    return per.select("key", text.alias("context"))
+    found = per.select("key", text.alias("context"))
+    if keys is None:
+        return found
+    return keys.select("key").distinct().join(found, "key", "left").select("key", F.coalesce("context", F.lit(NO_MATCH)).alias("context"))
+
+
+def scored_with_context(comments: DataFrame, contexts: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[tuple[float, list[str]]]], key: str, text: str) -> DataFrame:
+    """(key, stock_sentiment, stock_targets) of comments scored together with their context. ``scorer`` is the model: a list
+    of (comment, context) in, as many (sentiment, targets) out; it is called per Arrow batch. Null comments count as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            made = scorer(pairs)
+            if len(made) != len(pairs):
+                raise ValueError(f"{len(made)} results for {len(pairs)} comments")
+            sentiments, targets = pa.array([float(s) for s, _ in made], pa.float64()), pa.array([list(t) for _, t in made], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sentiments, targets], names=[key, "stock_sentiment", "stock_targets"])
+
+    rows = comments.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(contexts.select(F.col("key").alias(key), "context"), key, "left")
+    rows = rows.select(key, "_text", F.coalesce("context", F.lit(NO_MATCH)).alias("context"))
+    return rows.mapInArrow(run, f"`{key}` {dict(comments.dtypes)[key]}, stock_sentiment double, stock_targets array<string>")

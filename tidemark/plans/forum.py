@@ -274,7 +274,9 @@ THRESHOLDS = {"nickname": 0.65, "name": 0.65, "code": 0.9}
 
 
 def _fuzzy(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    typed = mentions.typed_targets(table(spark, folder, "comments", "comment_id", "stock_targets"), "comment_id")
+    comments = table(spark, folder, "comments", "comment_id", "comment", "stock_targets")
+    typed = mentions.typed_targets(comments.select("comment_id", "stock_targets"), "comment_id").select("comment_id", "token")
+    typed = typed.unionByName(comments.select("comment_id", F.explode(T.plain_tokens(F.col("comment"))).alias("token")))
     known, nicks = table(spark, folder, "targets"), table(spark, folder, "nicknames")
     entries = known.select("stock_no", F.lit("code").alias("kind"), F.col("stock_no").alias("entry"))
     entries = entries.unionByName(known.select("stock_no", F.lit("name").alias("kind"), F.col("stock_name").alias("entry")))
@@ -284,8 +286,8 @@ def _fuzzy(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def fuzzy_best_match(spark: SparkSession, folder: str) -> DataFrame:
-    """The most similar entry of each typed token by restricted edit distance. DuckDB has no such distance on characters,
-    so tests compare with brute force."""
+    """The most similar entry of each token of the comments and their typed targets, by restricted edit distance. DuckDB
+    has no such distance on characters, so tests compare with brute force."""
     return _fuzzy(spark, folder)[1]
 
 
@@ -293,8 +295,10 @@ def fuzzy_best_match(spark: SparkSession, folder: str) -> DataFrame:
 def fuzzy_context(spark: SparkSession, folder: str) -> DataFrame:
     """The lines a scorer gets with a comment: what its tokens resemble, and what those companies do."""
     typed, best = _fuzzy(spark, folder)
-    dataset = table(spark, folder, "infos", "stock_no", "stock_name", "business_scope")
-    return entities.context_lines(typed.select(F.col("comment_id").alias("key"), "token").join(best, "token"), dataset)
+    dataset = table(spark, folder, "infos", "stock_no", "stock_name", "business_scope", "competitor")
+    matches = typed.select(F.col("comment_id").alias("key"), "token").distinct().join(best, "token")
+    keys = table(spark, folder, "comments", F.col("comment_id").alias("key"))
+    return entities.context_lines(matches, dataset, table(spark, folder, "nicknames"), keys)
 
 
 @query("SELECT id, CASE WHEN regexp_extract(coalesce(paragraph_title, ''), '\\[([^\\]]+)\\]', 1) = '' THEN 'Unknown' ELSE regexp_extract(paragraph_title, '\\[([^\\]]+)\\]', 1) END AS tag FROM articles")
@@ -431,25 +435,29 @@ def scored_comments(spark: SparkSession, folder: str) -> DataFrame:
     return enrich.scored(enrich.batched(table(spark, folder, "articles", "id", "comments"))).select("id", "pos", "stock_sentiment")
 
 
-@query("SELECT id, len(comments) AS n, coalesce(len(comments) = 0, done_analyze) OR (comments IS NOT NULL) AS done FROM articles")
+@query(f"SELECT id, len(comments) AS n, coalesce(len(comments) = 0, done_analyze) OR (comments IS NOT NULL) AS done, list_transform(comments, lambda c: {_lexicon_sql("coalesce(c.comment, '')")}) AS sentiments, list_transform(comments, lambda c: '[]') AS targets, list_transform(comments, lambda c: c.commenter) AS commenters FROM articles")
 def rewritten_articles(spark: SparkSession, folder: str) -> DataFrame:
     """Scores put back into the articles, which are done once all comments are analysed."""
     articles = table(spark, folder, "articles", "id", "comments", "done_analyze")
     done = enrich.rewritten(enrich.rewritten(articles, enrich.scored(enrich.batched(articles))), enrich.scored(enrich.batched(articles)))
-    return done.select("id", F.when(F.col("comments").isNotNull(), F.size("comments").cast("bigint")).alias("n"), F.col("done_analyze").alias("done"))
+    return done.select("id", F.when(F.col("comments").isNotNull(), F.size("comments").cast("bigint")).alias("n"), F.col("done_analyze").alias("done"), F.col("comments.stock_sentiment").alias("sentiments"), F.col("comments.stock_targets").alias("targets"), F.col("comments.commenter").alias("commenters"))
 
 
 def _versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Stored articles and a batch of newer versions, made from articles that were crawled several times."""
-    articles = table(spark, folder, "articles", "id", "paragraph_link", "paragraph_title", "status", "md5_hash", "done_analyze")
-    stored = articles.where("id % 3 <> 0")
-    batch = articles.where("id % 2 = 0").withColumns({"seq": F.col("id"), "md5_hash": F.when(F.col("id") % 4 == 0, F.concat("md5_hash", F.lit("x"))).otherwise(F.col("md5_hash"))})
-    return stored, batch.drop("id", "done_analyze")
-
-
-_UPSERT = """WITH stored AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paragraph_link ORDER BY id) AS rn FROM articles WHERE id % 3 <> 0 AND paragraph_link IS NOT NULL) WHERE rn = 1),
-batch AS (SELECT * FROM (SELECT id, paragraph_link, paragraph_title, status, CASE WHEN id % 4 = 0 THEN concat(md5_hash, 'x') ELSE md5_hash END AS md5_hash,
-  row_number() OVER (PARTITION BY paragraph_link ORDER BY CASE WHEN status = '200' THEN 0 ELSE 1 END, id DESC) AS rn FROM articles WHERE id % 2 = 0 AND paragraph_link IS NOT NULL) WHERE rn = 1),
+    """All articles as stored, and all again as a later crawl finds them: those with comments have changed since, and one
+    mirror gives its own links."""
+    columns = ("id", "paragraph_link", "paragraph_title", "status", "md5_hash", "done_analyze")
+    articles = table(spark, folder, "articles", *columns, "source", "comments_token_count")
+    link = F.when(F.col("source") == "mirror_west", F.concat("paragraph_link", F.lit("#m"))).otherwise(F.col("paragraph_link"))
+    hashed = F.when(F.col("comments_token_count") > 0, F.concat("md5_hash", F.lit("x"))).otherwise(F.col("md5_hash"))
+    batch = articles.withColumns({"seq": F.col("id"), "paragraph_link": link, "md5_hash": hashed})
+    return articles.select(*columns), batch.select("paragraph_link", "paragraph_title", "status", "md5_hash", "seq")
+
+
+_UPSERT = """WITH stored AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paragraph_link ORDER BY id) AS rn FROM articles WHERE paragraph_link IS NOT NULL) WHERE rn = 1),
+batch AS (SELECT * FROM (SELECT id, link AS paragraph_link, paragraph_title, status, CASE WHEN comments_token_count > 0 THEN md5_hash || 'x' ELSE md5_hash END AS md5_hash,
+  row_number() OVER (PARTITION BY link ORDER BY CASE WHEN status = '200' THEN 0 ELSE 1 END, id DESC) AS rn
+  FROM (SELECT *, CASE WHEN source = 'mirror_west' THEN paragraph_link || '#m' ELSE paragraph_link END AS link FROM articles) WHERE link IS NOT NULL) WHERE rn = 1),
 decided AS (SELECT b.paragraph_link, b.paragraph_title, b.status, b.md5_hash, s.id AS stored_id, CASE WHEN coalesce(s.done_analyze, false) THEN 'skip_analysed' WHEN s.id IS NULL AND b.status <> '200' THEN 'skip_failed'
   WHEN s.id IS NULL THEN 'insert' WHEN s.md5_hash IS NOT DISTINCT FROM b.md5_hash THEN 'skip_same' WHEN b.status <> '200' THEN 'skip_failed' ELSE 'update' END AS action
   FROM batch b LEFT JOIN stored s ON b.paragraph_link = s.paragraph_link)"""
@@ -463,8 +471,8 @@ def upsert_classify(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     _UPSERT
     + """ SELECT a.id, a.paragraph_link, coalesce(d.paragraph_title, a.paragraph_title) AS paragraph_title, coalesce(d.status, a.status) AS status, coalesce(d.md5_hash, a.md5_hash) AS md5_hash, a.done_analyze
-FROM articles a LEFT JOIN (SELECT * FROM decided WHERE action = 'update') d ON a.id = d.stored_id WHERE a.id % 3 <> 0
-UNION ALL SELECT (SELECT max(id) FROM articles WHERE id % 3 <> 0) + row_number() OVER (ORDER BY paragraph_link), paragraph_link, paragraph_title, status, md5_hash, false FROM decided WHERE action = 'insert'"""
+FROM articles a LEFT JOIN (SELECT * FROM decided WHERE action = 'update') d ON a.id = d.stored_id
+UNION ALL SELECT (SELECT max(id) FROM articles) + row_number() OVER (ORDER BY paragraph_link), paragraph_link, paragraph_title, status, md5_hash, false FROM decided WHERE action = 'insert'"""
 )
 def upsert_apply(spark: SparkSession, folder: str) -> DataFrame:
     return upsert.applied(*_versions(spark, folder))
@@ -542,6 +550,92 @@ def json_field(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events", "event_id", "props").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+@query(
+    _MENTIONS
+    + ", best AS (" + _MOOD.format("ASC") + """),
+ranked AS (SELECT mention.stock_no, id, pos, sent_c, row_number() OVER (PARTITION BY mention.stock_no ORDER BY abs(sent_c) DESC, id, pos) AS rank FROM mention JOIN best USING (stock_no))
+SELECT stock_no, CAST(rank AS INTEGER) AS rank, ranked.id AS id, ranked.pos AS pos, u.comment AS comment, sent_c FROM ranked JOIN c ON ranked.id = c.id AND ranked.pos = c.u.pos WHERE rank <= 3"""
+)
+def bearish_comments(spark: SparkSession, folder: str) -> DataFrame:
+    """The strongest comments behind the bearish ranking."""
+    articles, targets = _analysed(spark, folder), table(spark, folder, "targets")
+    return mentions.supporting_comments(articles, targets, mentions.mood_ranking(articles, targets, bullish=False))
+
+
+_STRIPPED = "regexp_replace(comment, '^[\\s\\x{3000}\\x{00a0}\\x{202f}\\x{2000}-\\x{200a}\\x{0085}]+|[\\s\\x{3000}\\x{00a0}\\x{202f}\\x{2000}-\\x{200a}\\x{0085}]+$', '', 'g')"
+
+
+@query(f"SELECT comment_id, substr({_STRIPPED}, 2) AS rest FROM comments")
+def drop_first(spark: SparkSession, folder: str) -> DataFrame:
+    """Comments without their first character."""
+    return table(spark, folder, "comments", "comment_id", "comment").select("comment_id", T.drop_first(F.col("comment")).alias("rest"))
+
+
+@query("SELECT doc_id, CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END AS text FROM documents")
+def without_last_newline(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents", "doc_id", "text").select("doc_id", T.without_last_newline(F.col("text")).alias("text"))
+
+
+@query("SELECT comment_id, replace(stock_targets, chr(34), chr(39)) AS text FROM comments")
+def single_quoted(spark: SparkSession, folder: str) -> DataFrame:
+    """Targets as a model writes them inside JSON, with escaped quotes, read with single ones."""
+    escaped = F.replace("stock_targets", F.lit('"'), F.lit('\\"'))
+    return table(spark, folder, "comments", "comment_id", "stock_targets").select("comment_id", T.single_quoted(escaped).alias("text"))
+
+
+@query("SELECT comment_id, printf('%.3f', CAST(comment_score AS DOUBLE)) AS score FROM comments WHERE comment_score IS NOT NULL")
+def fixed_decimals(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "comments", "comment_id", "comment_score").where(F.col("comment_score").isNotNull())
+    return rows.select("comment_id", T.rounded(F.col("comment_score").cast("double")).alias("score"))
+
+
+@query("SELECT comment_id, stock_sentiment AS first, CAST(NULL AS DOUBLE) AS second FROM comments")
+def model_output(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentiments written as a model answers, keyed by index and out of order, and read back in order."""
+    one = lambda s: F.concat(F.lit('{"stock_sentiment": '), F.coalesce(s.cast("string"), F.lit("null")), F.lit(', "stock_targets": []}'))
+    text = F.concat(F.lit('{"1": '), one(F.lit(None)), F.lit(', "0": '), one(F.col("stock_sentiment")), F.lit("}"))
+    read = table(spark, folder, "comments", "comment_id", "stock_sentiment").select("comment_id", enrich.parsed_results(text).alias("r"))
+    return read.select("comment_id", F.col("r")[0]["stock_sentiment"].alias("first"), F.col("r")[1]["stock_sentiment"].alias("second"))
+
+
+@query("SELECT stock_no, stock_name AS name, 1 AS size FROM targets WHERE stock_name IS NOT NULL")
+def alternating_map(spark: SparkSession, folder: str) -> DataFrame:
+    """[name, code, a leftover] as {code: name}."""
+    rows = table(spark, folder, "targets").where("stock_name is not null")
+    made = C.alternating_map(F.array("stock_name", "stock_no", F.lit("left")))
+    return rows.select("stock_no", F.try_element_at(made, F.col("stock_no")).alias("name"), F.size(made).alias("size"))
+
+
+@query("SELECT stock_no, stock_no AS first, stock_name AS second, 2 AS size FROM targets")
+def index_map(spark: SparkSession, folder: str) -> DataFrame:
+    """{'0': code, '1': name}."""
+    made = C.index_map(F.array("stock_no", "stock_name"))
+    return table(spark, folder, "targets").select("stock_no", made["0"].alias("first"), made["1"].alias("second"), F.size(made).alias("size"))
+
+
+@query("SELECT comment_id, list_filter(string_split(comment, '，'), lambda x: x <> '') AS parts FROM comments WHERE comment IS NOT NULL")
+def without_empty(spark: SparkSession, folder: str) -> DataFrame:
+    """Clauses of comments without empty ones."""
+    rows = table(spark, folder, "comments", "comment_id", "comment").where("comment is not null")
+    return rows.select("comment_id", C.without_empty(F.split("comment", "，")).alias("parts"))
+
+
+@query(
+    """SELECT id, CAST(coalesce(len(map_keys(paragraph_stock_targets)), 0) + CASE WHEN coalesce(list_contains(map_keys(paragraph_stock_targets), '1181'), false) THEN 0 ELSE 1 END AS INTEGER) AS size,
+'right' AS name FROM articles"""
+)
+def merged_maps(spark: SparkSession, folder: str) -> DataFrame:
+    """Targets of articles united with another map, which wins."""
+    made = C.merged(F.col("paragraph_stock_targets"), F.create_map(F.lit("1181"), F.lit("right")))
+    return table(spark, folder, "articles", "id", "paragraph_stock_targets").select("id", F.size(made).alias("size"), F.try_element_at(made, F.lit("1181")).alias("name"))
+
+
+@query("SELECT article_id, max(comment_time) AS newest, max(pos) AS last_pos FROM comments GROUP BY 1")
+def newest_comment(spark: SparkSession, folder: str) -> DataFrame:
+    """Largest values per group, as charts need them for their axes."""
+    return table(spark, folder, "comments", "article_id", "comment_time", "pos").groupBy("article_id").agg(F.max("comment_time").alias("newest"), F.max("pos").alias("last_pos"))
+
+
 @query(
     """SELECT CAST(date_trunc('day', fetched_at) AS TIMESTAMP) AS window_start, source AS stock_no, count(*) AS mentions FROM comments WHERE fetched_at IS NOT NULL GROUP BY ALL"""
 )
