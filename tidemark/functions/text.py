@@ -64,6 +64,16 @@ def absolute_url(host: str, path: Column) -> Column:
     return F.concat(F.lit(host), path)
 
 
+def titled(title: Column, body: Column, sign: str = "？") -> Column:
+    """A heading, a sign and what stands under it, as scraped pieces are put together; null if either is missing."""
+    return F.concat(title, F.lit(sign), body)
+
+
+def with_map(text: Column, pairs: Column) -> Column:
+    """A text with a map after it as JSON; null if either is missing."""
+    return F.concat(text, F.to_json(pairs))
+
+
 def without_last_newline(text: Column) -> Column:
     """One trailing newline less."""
     return F.regexp_replace(text, r"\n\z", "")

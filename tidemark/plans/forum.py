@@ -630,6 +630,15 @@ def merged_maps(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "articles", "id", "paragraph_stock_targets").select("id", F.size(made).alias("size"), F.try_element_at(made, F.lit("1181")).alias("name"))
 
 
+@query("SELECT stock_no, stock_name || '？' || business_scope AS scope, stock_name || '{\"' || stock_no || '\":\"' || stock_name || '\"}' AS named FROM infos")
+def scraped_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings put before what stands under them, and a map after its text."""
+    pairs = F.when(F.col("stock_name").isNotNull(), F.create_map("stock_no", "stock_name"))
+    return table(spark, folder, "infos", "stock_no", "stock_name", "business_scope").select(
+        "stock_no", T.titled(F.col("stock_name"), F.col("business_scope")).alias("scope"), T.with_map(F.col("stock_name"), pairs).alias("named")
+    )
+
+
 @query("SELECT article_id, max(comment_time) AS newest, max(pos) AS last_pos FROM comments GROUP BY 1")
 def newest_comment(spark: SparkSession, folder: str) -> DataFrame:
     """Largest values per group, as charts need them for their axes."""
