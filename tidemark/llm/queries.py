@@ -8,6 +8,9 @@ from tidemark.llm import abuse, bytepairs, canonical, cuts, forms, names, packin
 from tidemark.sources.tables import table
 
 
+_TRAINED: dict[int, dict | None] = {}
+
+
 def _reviewable(spark: SparkSession, folder: str) -> DataFrame:
     """(src, row_id, source, text) of the three fields that people write freely."""
     fields = (("comments", "comment_id", "comment"), ("articles", "id", "paragraph_content"), ("documents", "doc_id", "text"))
@@ -19,7 +22,13 @@ def _abuse_scores(spark: SparkSession, folder: str) -> DataFrame:
     texts, labels = _reviewable(spark, folder), table(spark, folder, "review_labels")
     listed = names.lexicon(table(spark, folder, "targets", "stock_name"), table(spark, folder, "nicknames", "stock_nickname"))
     sample, marks = abuse.reviewed(texts, labels)
-    params = abuse.train(sample, marks, abuse.Reader(listed), abuse.unreviewed(texts, labels)) if sample else None
+    others = abuse.unreviewed(texts, labels) if sample else []
+    # One network for equal samples in a session: its three queries needn't train anew.
+    key = hash((tuple(sample), tuple(marks), tuple(others), tuple(listed)))
+    if key not in _TRAINED:
+        _TRAINED.clear()
+        _TRAINED[key] = abuse.train(sample, marks, abuse.Reader(listed), others) if sample else None
+    params = _TRAINED[key]
     return abuse.scored(bytepairs.spread(texts, "row_id"), params, listed)
 
 
