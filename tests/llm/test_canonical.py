@@ -66,6 +66,6 @@ def test_simplified_forms_by_rule(spark):
     for traditional, simple in zip("雙櫓檸簷蕪蒔靄霽箏鮭獺驢礫硯網電鷺鳶龜鬱", "双橹柠檐芜莳霭霁筝鲑獭驴砾砚网电鹭鸢龟郁"):
         assert table[ord(traditional)] == simple
     targets = spark.createDataFrame([("1", "靄櫓檸電"), ("2", "蕪硯鷺"), ("3", "鬱龜科")], "stock_no string, stock_name string")
-    typed = spark.createDataFrame([(i, f'["{v}"]') for i, v in enumerate(["霭橹柠电", "芜砚鹭", "郁龟科", "靄橹檸电"])], "comment_id bigint, stock_targets string")
+    typed = spark.createDataFrame([(i, f'["{v}"]') for i, v in enumerate(["霭橹柠电", "芜砚鹭", "郁龟科", "靄橹檸电", "蕪硯\uf93a"])], "comment_id bigint, stock_targets string")
     nicks = spark.createDataFrame([], "stock_no string, stock_nickname string")
-    assert [r.stock_no for r in C.resolved(typed, targets, nicks).orderBy("comment_id").collect()] == ["1", "2", "3", "1"]
+    assert [r.stock_no for r in C.resolved(typed, targets, nicks).orderBy("comment_id").collect()] == ["1", "2", "3", "1", "2"]

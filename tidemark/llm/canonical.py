@@ -123,9 +123,10 @@ def tokens(text: str) -> list[str]:
 
 
 def _value_rows(table: dict[int, str]):
+    # Folded before simplified: a compatibility form isn't in the table, what it folds to may be.
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(v, n, kind, text, tokens(text)) for v, n in zip(pdf["value"], pdf["n"]) for kind, text in readings(v.translate(table))]
+            rows = [(v, n, kind, text, tokens(text)) for v, n in zip(pdf["value"], pdf["n"]) for kind, text in readings(_plain(v).translate(table))]
             yield pd.DataFrame(rows, columns=["value", "n", "kind", "reading", "tokens"])
 
     return run
@@ -136,7 +137,7 @@ def _entry_rows(table: dict[int, str]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [(no, kind, make[kind](text.translate(table))) for no, kind, text in zip(pdf["stock_no"], pdf["kind"], pdf["text"])]
+            made = [(no, kind, make[kind](_plain(text).translate(table))) for no, kind, text in zip(pdf["stock_no"], pdf["kind"], pdf["text"])]
             yield pd.DataFrame([(no, kind, text, tokens(text)) for no, kind, text in made if text], columns=["stock_no", "kind", "entry", "tokens"])
 
     return run
