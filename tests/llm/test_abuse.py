@@ -95,3 +95,43 @@ def test_every_full_window_and_every_clause_is_scored_alike_in_text_and_alone(mo
     assert np.allclose(got, want, atol=1e-5)
     assert np.allclose(abuse.row_scores(texts, reader, scorer, memory), want, atol=1e-5)  # from memory
     assert np.allclose(abuse.row_scores(texts, reader, scorer, abuse.Memory(50)), want, atol=1e-5)
+
+
+def test_no_window_is_left_out_for_its_neighbours_scores():
+    at_its_place = lambda codes: (codes[:, 5] == ord("惡")).astype(np.float32)
+    rng = random.Random(4)
+    for place in range(5, 45):
+        text = "".join(chr(0x5000 + rng.randrange(900)) for _ in range(64))
+        text = text[:place] + "惡" + text[place + 1 :]
+        assert abuse.row_scores(["平安", text, None], abuse.Reader([]), at_its_place, abuse.Memory()).tolist() == [0, 1, 0], place
+
+
+def test_shared_states_give_what_training_gives():
+    rng = random.Random(6)
+    words = ["今天外資又倒貨", "，", "sell it now", "看好", "x", "跌"]
+    windows = ["".join(rng.choice(words) for _ in range(rng.randint(0, 9)))[: rng.randint(1, abuse.WIDTH)] for _ in range(500)] + [""]
+    p = gru.initial(3)
+    p = {k: v * 3 for k, v in p.items()}
+    codes = abuse.coded(windows)
+    chars, ids = gru.features(codes)
+    x = p["Ec"][chars] + p["Ew"][ids]
+    s = np.concatenate([gru._run(x @ p[f"W{d}"] + p[f"b{d}"], p[f"U{d}"], d == "b")[0] for d in "fb"], 2)
+    e = np.exp(np.where(chars > 0, np.tanh(s @ p["Wa"]) @ p["va"], -1e9))
+    e[~(chars > 0).any(1), 0] = 1
+    want = gru._sigmoid(((e / e.sum(1, keepdims=True))[:, :, None] * s).sum(1) @ p["wo"] + p["bo"])
+    scorer = gru.Scorer(p)
+    assert np.allclose(scorer(codes), want, atol=1e-5)
+    scorer.MOST, scorer.BLOCK = 60, 7
+    assert np.allclose(scorer(codes), want, atol=1e-5)
+
+
+def test_memory_keeps_its_scores():
+    rng = np.random.default_rng(2)
+    memory, all_keys = abuse.Memory(), rng.permutation(np.arange(1, 40_000, dtype=np.uint64) * np.uint64(7919))
+    for part in np.array_split(all_keys, 60):
+        part = np.sort(part)
+        assert not memory.known(part)[1].any()
+        memory.add(part, (part % np.uint64(97)).astype(np.float32))
+    scores, there = memory.known(all_keys)
+    assert there.all() and (scores == all_keys % np.uint64(97)).all() and len(memory) == len(all_keys)
+    assert not memory.known(all_keys + np.uint64(1))[1].any()

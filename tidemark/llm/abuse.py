@@ -4,8 +4,8 @@ Texts are folded to one form, lowered, numbers and listed names become one symbo
 windows: every full window, and one from each clause's start that may be shorter, so a passage of up to a window's width
 stands whole in one. Training picks from windows that start at clauses and every ``STRIDE`` characters within them.
 A bidirectional gated recurrent network with attention pooling (``gru``) scores every window; a row's score is that of
-its worst window. Equal windows have equal scores, so a worker scores each different window once and remembers it by a
-64-bit hash.
+its worst window. No window is left out: equal windows have equal scores, so a worker scores each different window once
+and remembers it by a 64-bit hash, and what several windows begin or end with is worked out once (``gru.Scorer``).
 
 The network is trained when the query runs, on the reviewed rows: labels are per row, so for a positive row the window
 that scores highest stands for it, for a negative row all windows do. Reviewers err; rows the network firmly contradicts
@@ -42,11 +42,10 @@ PHASES, SHORT_ROW = 12, 6
 #: Enrichment of trigrams from which a window may be what was marked, and from which it isn't used as a negative.
 ORDINARY, SUSPECT = 4.0, 4.0
 THRESHOLD = 0.93
-#: Windows share all but a few signs with their neighbours, so every ``COARSE``-th is scored first, and all those less than
-#: ``COARSE`` from one that scores ``LOOK`` or more.
-COARSE, LOOK = 4, 0.02
-#: Different windows a worker remembers (16 bytes each); beyond it the memory starts anew.
-CACHED_WINDOWS = 4_000_000
+#: All windows are looked at, whatever their neighbours score; only a test still names this bound.
+LOOK = 0.0
+#: Different windows a worker remembers (12 bytes each); beyond it the memory starts anew. So many are scored at once.
+CACHED_WINDOWS, TOGETHER = 12_000_000, 262_144
 _BREAKS = re.compile(r"[,，.。!！?？;；:：、\n\r…]+")
 _NUMBER = re.compile(r"\d[\d.,%]*")
 _SPACES = re.compile(r"[^\S\n]+")
@@ -96,8 +95,8 @@ class Reader:
 
 
 def window_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(code points of all texts with a 0 after each, starts, sizes, text, first round) of the windows; white space at a
-    window's ends isn't part of it. In the first round are clause starts, every ``COARSE``-th window and the last one."""
+    """(code points of all texts with a 0 after each, starts, sizes, text, whether a clause begins there) of the windows;
+    white space at a window's ends isn't part of it."""
     codes = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le"), "<u4")
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     owner = np.repeat(np.arange(len(texts)), lengths + 1)
@@ -113,30 +112,47 @@ def window_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     starts = np.flatnonzero((codes > 0) & ~space & (begins | (at + WIDTH <= end)))
     solid = np.maximum.accumulate(np.where(space | (codes == 0), 0, at))
     sizes = solid[np.minimum(starts + WIDTH, end[starts]) - 1] - starts + 1
-    last = np.r_[owner[starts][1:] != owner[starts][:-1], True] if len(starts) else np.empty(0, bool)
-    since = starts - (end - lengths[owner])[starts]
-    return codes, starts, sizes, owner[starts], begins[starts] | (since % COARSE == 0) | last
+    return codes, starts, sizes, owner[starts], begins[starts]
 
 
 class Memory:
-    """Scores of windows by hash, in order of hash."""
+    """Scores of windows by hash, in order of hash; recent ones stand apart until they are an eighth, so that few additions
+    move the rest."""
 
     def __init__(self, most: int = CACHED_WINDOWS):
-        self.most, self.keys, self.scores = most, np.empty(0, np.uint64), np.empty(0, np.float32)
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.runs = [(np.empty(0, np.uint64), np.empty(0, np.float32)) for _ in range(2)]
+
+    def __len__(self) -> int:
+        return sum(len(keys) for keys, _ in self.runs)
 
     def known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the keys, and which of them are there."""
-        place = np.searchsorted(self.keys, keys)
-        there = np.zeros(len(keys), bool)
-        inside = place < len(self.keys)
-        there[inside] = self.keys[place[inside]] == keys[inside]
-        return place, there
+        """Scores of the keys, and which of them are there."""
+        scores, there = np.empty(len(keys), np.float32), np.zeros(len(keys), bool)
+        for mine, kept in self.runs:
+            place = np.searchsorted(mine, keys)
+            inside = np.flatnonzero(place < len(mine))
+            found = inside[mine[place[inside]] == keys[inside]]
+            scores[found], there[found] = kept[place[found]], True
+        return scores, there
 
     def add(self, keys: np.ndarray, scores: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > self.most:
-            self.keys, self.scores = self.keys[:0], self.scores[:0]
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.scores = np.insert(self.keys, place, keys), np.insert(self.scores, place, scores)
+        """Keys in order that aren't there."""
+        if len(self) + len(keys) > self.most:
+            self._forget()
+        old, recent = self.runs[0], _merged(*self.runs[1], keys, scores)
+        if len(recent[0]) * 8 > len(old[0]):
+            self.runs = [_merged(*old, *recent), (recent[0][:0].copy(), recent[1][:0].copy())]
+        else:
+            self.runs = [old, recent]
+
+
+def _merged(keys: np.ndarray, scores: np.ndarray, more: np.ndarray, their: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    place = np.searchsorted(keys, more)
+    return np.insert(keys, place, more), np.insert(scores, place, their)
 
 
 def coded(windows: list[str]) -> np.ndarray:
@@ -254,7 +270,7 @@ def row_scores(texts: list[str | None], reader: Reader, scorer: Scorer, memory:
     out = np.zeros(len(texts))
     if not real:
         return out
-    codes, starts, sizes, owner, round_one = window_places(reader.normal([texts[i] for i in real]))
+    codes, starts, sizes, owner, _ = window_places(reader.normal([texts[i] for i in real]))
     if not len(starts):
         return out
     up, down = _HASH.upto(len(codes) + 1)
@@ -263,29 +279,19 @@ def row_scores(texts: list[str | None], reader: Reader, scorer: Scorer, memory:
     keys = (sums[starts + sizes] - sums[starts]) * up[starts]
     keys ^= keys >> np.uint64(31)
     keys *= np.uint64(0xBF58476D1CE4E5B9)
-    scores = np.zeros(len(starts), np.float32)
-    scores[round_one] = _window_scores(codes, starts[round_one], sizes[round_one], keys[round_one], scorer, memory)
-    # Around windows with any sign of abuse all are scored.
-    signs = np.zeros(len(codes) + 1, np.int64)
-    signs[1:][starts[scores >= LOOK]] = 1
-    signs = np.cumsum(signs)
-    near = signs[np.minimum(starts + COARSE, len(codes))] > signs[np.maximum(starts - COARSE + 1, 0)]
-    near &= ~round_one
-    scores[near] = _window_scores(codes, starts[near], sizes[near], keys[near], scorer, memory)
+    scores = _window_scores(codes, starts, sizes, keys, scorer, memory)
     np.maximum.at(out, np.array(real)[owner], scores.astype(float))
     return out
 
 
 def _window_scores(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, scorer: Scorer, memory: Memory) -> np.ndarray:
     keys, pick, back = np.unique(keys, return_index=True, return_inverse=True)
-    place, there = memory.known(keys)
-    scores = np.empty(len(keys), np.float32)
-    scores[there] = memory.scores[place[there]]
+    scores, there = memory.known(keys)
     new, made = pick[~there], np.empty(int((~there).sum()), np.float32)
     steps = np.arange(WIDTH)
-    for low in range(0, len(new), 50_000):
-        at, size = starts[new[low : low + 50_000], None], sizes[new[low : low + 50_000], None]
-        made[low : low + 50_000] = scorer(np.where(steps < size, codes[np.minimum(at + steps, len(codes) - 1)], 0))
+    for low in range(0, len(new), TOGETHER):
+        at, size = starts[new[low : low + TOGETHER], None], sizes[new[low : low + TOGETHER], None]
+        made[low : low + TOGETHER] = scorer(np.where(steps < size, codes[np.minimum(at + steps, len(codes) - 1)], 0))
     scores[~there] = made
     memory.add(keys[~there], made)
     return scores[back]

@@ -6,33 +6,49 @@ or the pair with the next character where a script has no spaces). Both directio
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 WIDTH = 24
-CHARS, WORDS = 4096, 8192
+CHARS, WORD_BITS = 4096, 13
+WORDS = 2**WORD_BITS
 DIM, HIDDEN, ATTENTION = 16, 16, 16
 
 
 def features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Character and word buckets of windows (n, width) of code points, 0 where a window has ended."""
-    c = codes.astype(np.int64)
-    nxt = np.concatenate([c[:, 1:], np.zeros((len(c), 1), np.int64)], 1)
-    pair = (c * 1_000_003 + nxt * 8_191 + 17) & 0x7FFFFFFF
+    c = codes.astype(np.uint32)
+    words = c * np.uint32(1_000_003)
+    words[:, :-1] += c[:, 1:] * np.uint32(8_191)
+    words += np.uint32(17)
+    words &= np.uint32(0x7FFFFFFF)
+    words = _bucket(words ^ (words >> np.uint32(13)), WORDS - 1)
     latin = (c >= 97) & (c <= 122)
-    if latin.any():
-        h = np.zeros(len(c), np.int64)
-        word = np.zeros_like(c)
+    rows = np.flatnonzero(latin.any(1))
+    if len(rows):
+        c_l, latin = c[rows].astype(np.int64), latin[rows]
+        h = np.zeros(len(rows), np.int64)
+        word = np.zeros_like(c_l)
         for t in range(c.shape[1]):
-            h = np.where(latin[:, t], (h * 131 + c[:, t]) & 0x7FFFFFFF, 0)
+            h = np.where(latin[:, t], (h * 131 + c_l[:, t]) & 0x7FFFFFFF, 0)
             word[:, t] = h
         for t in range(c.shape[1] - 2, -1, -1):
             word[:, t] = np.where(latin[:, t] & latin[:, t + 1], word[:, t + 1], word[:, t])
-        pair = np.where(latin, word * 7 + 3, pair)
-    words = np.where(c > 0, 1 + (pair ^ (pair >> 13)) % (WORDS - 1), 0)
-    chars = np.where(c > 0, 1 + (c ^ (c >> 12)) % (CHARS - 1), 0)
+        word = word * 7 + 3
+        words[rows] = np.where(latin, 1 + (word ^ (word >> 13)) % (WORDS - 1), words[rows])
+    chars = _bucket(c ^ (c >> np.uint32(12)), CHARS - 1)
+    real = c > 0
+    words *= real
+    chars *= real
     return chars.astype(np.int32), words.astype(np.int32)
 
 
+def _bucket(x: np.ndarray, count: int) -> np.ndarray:
+    """1 + x % count; numpy divides by a constant faster than it takes remainders."""
+    return x - x // np.uint32(count) * np.uint32(count) + np.uint32(1)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
@@ -134,73 +150,126 @@ class Adam:
 
 
 class Scorer:
-    """The trained network for scoring. Input products are tables; states are laid out (unit, window), so that every step
-    works on contiguous rows. All gates are taken from one logistic function, tanh(x) being 2 / (1 + exp(-2 x)) - 1; the
+    """The trained network for scoring. A forward state depends on the inputs up to its place only and a backward state on
+    those from its place on, so windows are sorted by their inputs and every state that several windows begin (or end) with
+    is worked out once, with its share of the attention and of the output. Windows that end early are filled as in training.
+
+    Input products are tables. All gates are taken from one logistic function, tanh(x) being 2 / (1 + exp(-2 x)) - 1; the
     factors -1 and -2 are put into the tables once."""
 
+    #: Windows worked on together, and states in a block that stays in the processor's cache.
+    MOST, BLOCK = 65_536, 2048
+
     def __init__(self, p: dict):
         self.p, k = p, HIDDEN
         factor = np.r_[np.full(2 * k, -1), np.full(k, -2)].astype(np.float32)
-        self.c = {d: np.ascontiguousarray((p["Ec"] @ p[f"W{d}"] + p[f"b{d}"]) * factor) for d in "fb"}
-        self.w = {d: np.ascontiguousarray((p["Ew"] @ p[f"W{d}"]) * factor) for d in "fb"}
-        self.u = {d: np.ascontiguousarray((p[f"U{d}"] * factor).T) for d in "fb"}
-        self.wa = np.ascontiguousarray(p["Wa"].T) * np.float32(-2)
-
-        # Where a window ends early, the backward state begins as the fill after it leaves it.
-        self.fill = np.zeros((WIDTH + 1, HIDDEN), np.float32)
-        gate = (self.c["b"][:1] + self.w["b"][:1]).T
-        for i in range(WIDTH):
-            self.fill[i + 1] = self._step(gate, self.fill[i][:, None], self.u["b"])[:, 0]
-
-    def __call__(self, codes: np.ndarray, batch: int = 2048) -> np.ndarray:
-        """Probability of each window (n, WIDTH) of code points, 0 after its end. Windows of one size go together, so no
-        score depends on the company."""
-        sizes = (codes > 0).sum(1)
-        order = np.argsort(sizes, kind="stable")
-        bounds = np.searchsorted(sizes[order], np.arange(WIDTH + 2))
-        out = np.empty(len(codes), np.float32)
-        for size in range(WIDTH + 1):
-            for i in range(bounds[size], bounds[size + 1], batch):
-                mine = order[i : min(i + batch, bounds[size + 1])]
-                out[mine] = self._scores(codes[mine], max(1, size))
-        return out
+        self.gates = {}
+        for d, at in (("f", slice(0, k)), ("b", slice(k, 2 * k))):
+            c, w, u = (p["Ec"] @ p[f"W{d}"] + p[f"b{d}"]) * factor, (p["Ew"] @ p[f"W{d}"]) * factor, p[f"U{d}"] * factor
+            parts = [[x[:, : 2 * k] for x in (c, w, u)], [x[:, 2 * k :] for x in (c, w, u)], [p["Wa"][at] * -2, p["wo"][at]]]
+            self.gates[d] = [[np.ascontiguousarray(x, np.float32) for x in part] for part in parts]
 
-    @staticmethod
-    def _step(g: np.ndarray, h: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """The next states (HIDDEN, n) from gate inputs (3 * HIDDEN, n)."""
-        k, x = HIDDEN, u @ h
-        zr, new = x[: 2 * k], x[2 * k :]
-        zr += g[: 2 * k]
-        _logistic(zr)
-        new *= zr[k:]
-        new += g[2 * k :]
-        _logistic(new)
-        new *= 2
-        new -= 1
-        to = h - new
-        to *= zr[:k]
-        to += new
-        return to
-
-    def _scores(self, codes: np.ndarray, width: int) -> np.ndarray:
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """Probability of each window (n, WIDTH) of code points, 0 after its end."""
+        n, out = len(codes), np.empty(len(codes), np.float32)
+        if not n:
+            return out
         chars, words = features(codes)
-        chars, words = chars[:, :width].T.copy(), words[:, :width].T.copy()
-        n, k, p = len(codes), HIDDEN, self.p
-        s, e = np.empty((width, 2 * k, n), np.float32), np.empty((width, n), np.float32)
+        inputs = np.ascontiguousarray(((chars << WORD_BITS) | words).T)
+        order = _shared_order(inputs, range(WIDTH))
+        for low in range(0, n, self.MOST):
+            mine = order[low : low + self.MOST]
+            out[mine] = self._scores(inputs.take(mine, 1))
+        return out
+
+    def _scores(self, inputs: np.ndarray) -> np.ndarray:
+        """Of windows, as inputs (WIDTH, n), in an order that brings equal beginnings together."""
+        n, p = inputs.shape[1], self.p
+        turned = _shared_order(inputs, range(WIDTH - 1, -1, -1))
+        back = np.empty(n, np.intp)
+        back[turned] = np.arange(n)
+        ends = {t: (group[back], a, o) for t, group, a, o in self._states("b", inputs.take(turned, 1))}
+        e, value = np.empty((2, WIDTH, n), np.float32)
+        va = p["va"] * np.float32(2)  # twice, less what tanh adds to all alike, which doesn't matter here
+        room = np.empty((2, self.BLOCK, ATTENTION), np.float32)
         with np.errstate(over="ignore"):
-            for d, order, at in (("f", range(width), 0), ("b", range(width - 1, -1, -1), k)):
-                h = np.zeros((k, n), np.float32) if d == "f" else np.repeat(self.fill[WIDTH - width][:, None], n, 1)
-                for t in order:
-                    g = self.c[d].take(chars[t], 0)
-                    g += self.w[d].take(words[t], 0)
-                    h = s[t, at : at + k] = self._step(g.T, h, self.u[d])
-            for t in range(width):
-                a = self.wa @ s[t]
-                _logistic(a)
-                e[t] = 2 * (p["va"] @ a)  # less what tanh adds to all alike, which doesn't matter here
-        e = np.exp(e - e.max(0))
-        pooled = np.einsum("tn,tkn->nk", e, s) / e.sum(0)[:, None]
-        return _sigmoid(pooled @ p["wo"] + p["bo"])
+            for t, group, a, o in self._states("f", inputs):
+                other, b, o_b = ends.pop(t)
+                for low in range(0, n, self.BLOCK):
+                    part = slice(low, min(low + self.BLOCK, n))
+                    both, more = room[:, : part.stop - low]
+                    a.take(group[part], 0, out=both, mode="clip")
+                    both += b.take(other[part], 0, out=more, mode="clip")
+                    _logistic(both)
+                    np.matmul(both, va, out=e[t, part])
+                np.add(o.take(group), o_b.take(other), out=value[t])
+        e[inputs == 0] = -np.inf
+        e[0, inputs[0] == 0] = 0  # a window of nothing but fill
+        e -= e.max(0)
+        np.exp(e, out=e)
+        value *= e
+        return _sigmoid(value.sum(0) / e.sum(0) + p["bo"])
+
+    def _states(self, d: str, inputs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each place in reading order: the place, each window's state, and of every state what it adds to the
+        attention's inputs and to the output."""
+        (c_zr, w_zr, u_zr), (c_n, w_n, u_n), (wa, wo) = self.gates[d]
+        n, k = inputs.shape[1], HIDDEN
+        room = [np.empty((self.BLOCK, size * k), np.float32) for size in (1, 1, 2, 1, 2)]
+        starts = np.zeros(n, bool)
+        starts[0] = True
+        before, group = np.zeros((1, k), np.float32), np.zeros(n, np.intp)
+        for t in range(WIDTH) if d == "f" else range(WIDTH - 1, -1, -1):
+            starts[1:] |= inputs[t, 1:] != inputs[t, :-1]
+            first = np.flatnonzero(starts)
+            parent, read = group[first], inputs[t, first].astype(np.intp)
+            char, word = read >> WORD_BITS, read & (2**WORD_BITS - 1)
+            h, a = np.empty((len(first), k), np.float32), np.empty((len(first), ATTENTION), np.float32)
+            with np.errstate(over="ignore"):
+                for low in range(0, len(first), self.BLOCK):
+                    part = slice(low, min(low + self.BLOCK, len(first)))
+                    m = part.stop - low
+                    old, new, zr, more, more_zr = (x[:m] for x in room)
+                    before.take(parent[part], 0, out=old, mode="clip")
+                    np.matmul(old, u_zr, out=zr)
+                    zr += c_zr.take(char[part], 0, out=more_zr, mode="clip")
+                    zr += w_zr.take(word[part], 0, out=more_zr, mode="clip")
+                    _logistic(zr)
+                    np.matmul(old, u_n, out=new)
+                    new *= zr[:, k:]
+                    new += c_n.take(char[part], 0, out=more, mode="clip")
+                    new += w_n.take(word[part], 0, out=more, mode="clip")
+                    _logistic(new)
+                    new *= 2
+                    new -= 1
+                    old -= new
+                    old *= zr[:, :k]
+                    np.add(old, new, out=h[part])
+                    np.matmul(h[part], wa, out=a[part])
+            before, group = h, np.cumsum(starts) - 1
+            yield t, group, a, h @ wo
+
+
+def _shared_order(inputs: np.ndarray, places: range) -> np.ndarray:
+    """An order of windows, as inputs (WIDTH, n), that brings those together which are equal in the first of the places, for
+    any number of them. It goes by hashes, so a few may stand apart."""
+    n, factors = inputs.shape[1], np.random.default_rng(5).integers(1, 2**32, WIDTH, np.uint32) | np.uint32(1)
+
+    def piece(low: int, high: int, bits: int) -> np.ndarray:
+        total = np.zeros(n, np.uint32)
+        for i in range(low, high):
+            total += inputs[places[i]].view(np.uint32) * factors[i]
+        total ^= total >> np.uint32(15)
+        return ((total * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.uint64)
+
+    def key(rank: np.ndarray, bounds: tuple[int, ...], bits: int) -> np.ndarray:
+        for low, high in zip(bounds, bounds[1:]):
+            rank = (rank << np.uint64(bits)) | piece(low, high, bits)
+        return rank
+
+    first = key(np.zeros(n, np.uint64), (0, 1, 2, 4, 6, 9), 12)
+    _, rank = np.unique(first, return_inverse=True)
+    return np.argsort(key(rank.astype(np.uint64), (9, 12, 15, 19), 12), kind="stable")
 
 
 def _logistic(x: np.ndarray) -> None:
