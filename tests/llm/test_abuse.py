@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle as pickle
 
 from tidemark.llm import abuse, gru
 
@@ -135,3 +137,25 @@ def test_memory_keeps_its_scores():
     scores, there = memory.known(all_keys)
     assert there.all() and (scores == all_keys % np.uint64(97)).all() and len(memory) == len(all_keys)
     assert not memory.known(all_keys + np.uint64(1))[1].any()
+
+
+def test_a_worker_scores_equal_windows_once_over_the_tasks_of_a_query(monkeypatch):
+    class Frame:  # hands out the function that every task unpickles for itself
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return pickle.dumps(run)
+
+    scored = []
+    call = gru.Scorer.__call__
+    monkeypatch.setattr(gru.Scorer, "__call__", lambda self, codes: scored.append(len(codes)) or call(self, codes))
+    texts = ["".join(chr(0x5000 + i + j) for i in range(60)) for j in range(0, 300, 100)]
+    batch = pa.RecordBatch.from_pydict({"src": ["c"] * 3, "row_id": [1, 2, 3], "source": ["s"] * 3, "text": texts})
+    params = gru.initial(3)
+    task = lambda query: [s for out in pickle.loads(query)(iter([batch])) for s in out.column(3).to_pylist()]
+    query = abuse.scored(Frame(), params, [])
+    first = task(query)
+    assert sum(scored) == 3 * 37
+    assert task(query) == first and sum(scored) == 3 * 37
+    assert task(abuse.scored(Frame(), params, [])) == first and sum(scored) == 6 * 37  # another query scores for itself

@@ -20,9 +20,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.batches import parts
@@ -45,7 +47,9 @@ THRESHOLD = 0.93
 #: All windows are looked at, whatever their neighbours score; only a test still names this bound.
 LOOK = 0.0
 #: Different windows a worker remembers (12 bytes each); beyond it the memory starts anew. So many are scored at once.
-CACHED_WINDOWS, TOGETHER = 12_000_000, 262_144
+CACHED_WINDOWS, TOGETHER = 12_000_000, 524_288
+#: About so many characters of texts are looked through at once.
+TEXTS_TOGETHER = 1_000_000
 _BREAKS = re.compile(r"[,，.。!！?？;；:：、\n\r…]+")
 _NUMBER = re.compile(r"\d[\d.,%]*")
 _SPACES = re.compile(r"[^\S\n]+")
@@ -261,7 +265,16 @@ def train(texts: list[str], labels: list[int], reader: Reader, unreviewed: list[
     return p
 
 
-_READERS: dict[int, tuple[Reader, Scorer, Memory]] = {}
+_WORKER: dict[str, tuple[Reader, Scorer, Memory]] = {}
+
+
+def worker(query: str, names: list[str], params: dict) -> tuple[Reader, Scorer, Memory]:
+    """What a worker process keeps from one task of a query to its next. Tasks call this by name; a dictionary that their
+    function refers to would be a copy of its own for each task."""
+    if query not in _WORKER:
+        _WORKER.clear()
+        _WORKER[query] = (Reader(names), Scorer(params), Memory())
+    return _WORKER[query]
 
 
 def row_scores(texts: list[str | None], reader: Reader, scorer: Scorer, memory: Memory) -> np.ndarray:
@@ -288,10 +301,12 @@ def _window_scores(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key
     keys, pick, back = np.unique(keys, return_index=True, return_inverse=True)
     scores, there = memory.known(keys)
     new, made = pick[~there], np.empty(int((~there).sum()), np.float32)
-    steps = np.arange(WIDTH)
+    steps, full = np.arange(WIDTH), sliding_window_view(np.r_[codes, np.zeros(WIDTH - 1, np.uint32)], WIDTH)
     for low in range(0, len(new), TOGETHER):
-        at, size = starts[new[low : low + TOGETHER], None], sizes[new[low : low + TOGETHER], None]
-        made[low : low + TOGETHER] = scorer(np.where(steps < size, codes[np.minimum(at + steps, len(codes) - 1)], 0))
+        at, size = starts[new[low : low + TOGETHER]], sizes[new[low : low + TOGETHER]]
+        windows, short = full[at], np.flatnonzero(size < WIDTH)
+        windows[short] *= steps < size[short, None]
+        made[low : low + TOGETHER] = scorer(windows)
     scores[~there] = made
     memory.add(keys[~there], made)
     return scores[back]
@@ -301,15 +316,13 @@ def scored(texts: DataFrame, params: dict | None, names: list[str]) -> DataFrame
     """(src, row_id, source, score) for (src, row_id, source, text); map-only."""
     if params is None:
         return texts.select("src", "row_id", "source", F.lit(0.0).alias("score"))
-    stamp = hash(params["wo"].tobytes())
+    query = uuid4().hex  # scores aren't kept from one query to another
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if stamp not in _READERS:
-            _READERS.clear()
-            _READERS[stamp] = (Reader(names), Scorer(params), Memory())
+        kept = worker(query, names, params)
         for batch in batches:
-            for part in parts(batch, 3, 20_000, 500_000):
-                scores = row_scores(part.column(3).to_pylist(), *_READERS[stamp])
+            for part in parts(batch, 3, 20_000, TEXTS_TOGETHER):
+                scores = row_scores(part.column(3).to_pylist(), *kept)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(scores)], names=["src", "row_id", "source", "score"])
 
     return texts.select("src", "row_id", "source", "text").mapInArrow(run, "src string, row_id bigint, source string, score double")

@@ -158,24 +158,26 @@ class Scorer:
     factors -1 and -2 are put into the tables once."""
 
     #: Windows worked on together, and states in a block that stays in the processor's cache.
-    MOST, BLOCK = 65_536, 2048
+    MOST, BLOCK = 131_072, 2048
 
     def __init__(self, p: dict):
         self.p, k = p, HIDDEN
         factor = np.r_[np.full(2 * k, -1), np.full(k, -2)].astype(np.float32)
-        self.gates = {}
+        self.gates, self.kept = {}, {}
         for d, at in (("f", slice(0, k)), ("b", slice(k, 2 * k))):
             c, w, u = (p["Ec"] @ p[f"W{d}"] + p[f"b{d}"]) * factor, (p["Ew"] @ p[f"W{d}"]) * factor, p[f"U{d}"] * factor
-            parts = [[x[:, : 2 * k] for x in (c, w, u)], [x[:, 2 * k :] for x in (c, w, u)], [p["Wa"][at] * -2, p["wo"][at]]]
-            self.gates[d] = [[np.ascontiguousarray(x, np.float32) for x in part] for part in parts]
+            apart = [x.reshape(-1, 3, k).swapaxes(0, 1) for x in (c, w, u)]  # by gate
+            self.gates[d] = [np.ascontiguousarray(x, np.float32) for x in (*apart, p["Wa"][at] * -2, p["wo"][at])]
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
         """Probability of each window (n, WIDTH) of code points, 0 after its end."""
         n, out = len(codes), np.empty(len(codes), np.float32)
         if not n:
             return out
-        chars, words = features(codes)
-        inputs = np.ascontiguousarray(((chars << WORD_BITS) | words).T)
+        inputs = np.empty((WIDTH, n), np.int32)
+        for low in range(0, n, self.BLOCK):
+            chars, words = features(codes[low : low + self.BLOCK])
+            inputs[:, low : low + self.BLOCK] = ((chars << WORD_BITS) | words).T
         order = _shared_order(inputs, range(WIDTH))
         for low in range(0, n, self.MOST):
             mine = order[low : low + self.MOST]
@@ -189,7 +191,7 @@ class Scorer:
         back = np.empty(n, np.intp)
         back[turned] = np.arange(n)
         ends = {t: (group[back], a, o) for t, group, a, o in self._states("b", inputs.take(turned, 1))}
-        e, value = np.empty((2, WIDTH, n), np.float32)
+        e, value = self._room("e", 2 * WIDTH * n).reshape(2, WIDTH, n)
         va = p["va"] * np.float32(2)  # twice, less what tanh adds to all alike, which doesn't matter here
         room = np.empty((2, self.BLOCK, ATTENTION), np.float32)
         with np.errstate(over="ignore"):
@@ -213,42 +215,53 @@ class Scorer:
     def _states(self, d: str, inputs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each place in reading order: the place, each window's state, and of every state what it adds to the
         attention's inputs and to the output."""
-        (c_zr, w_zr, u_zr), (c_n, w_n, u_n), (wa, wo) = self.gates[d]
+        c, w, u, wa, wo = self.gates[d]
         n, k = inputs.shape[1], HIDDEN
-        room = [np.empty((self.BLOCK, size * k), np.float32) for size in (1, 1, 2, 1, 2)]
+        room, states = self._room("block", 10 * self.BLOCK * k), self._room("states", 2 * n * k)
+        # The backward attention inputs of all places are used later, the forward ones at once.
+        attention, used = self._room(d, (WIDTH if d == "b" else 1) * n * ATTENTION), 0
         starts = np.zeros(n, bool)
         starts[0] = True
         before, group = np.zeros((1, k), np.float32), np.zeros(n, np.intp)
         for t in range(WIDTH) if d == "f" else range(WIDTH - 1, -1, -1):
             starts[1:] |= inputs[t, 1:] != inputs[t, :-1]
             first = np.flatnonzero(starts)
-            parent, read = group[first], inputs[t, first].astype(np.intp)
+            parent, read, size = group[first], inputs[t, first].astype(np.intp), len(first)
             char, word = read >> WORD_BITS, read & (2**WORD_BITS - 1)
-            h, a = np.empty((len(first), k), np.float32), np.empty((len(first), ATTENTION), np.float32)
+            h = states[t % 2 * n * k :][: size * k].reshape(size, k)
+            a = attention[used : used + size * ATTENTION].reshape(size, ATTENTION)
+            used += size * ATTENTION if d == "b" else 0
             with np.errstate(over="ignore"):
-                for low in range(0, len(first), self.BLOCK):
-                    part = slice(low, min(low + self.BLOCK, len(first)))
+                for low in range(0, size, self.BLOCK):
+                    part = slice(low, min(low + self.BLOCK, size))
                     m = part.stop - low
-                    old, new, zr, more, more_zr = (x[:m] for x in room)
-                    before.take(parent[part], 0, out=old, mode="clip")
-                    np.matmul(old, u_zr, out=zr)
-                    zr += c_zr.take(char[part], 0, out=more_zr, mode="clip")
-                    zr += w_zr.take(word[part], 0, out=more_zr, mode="clip")
+                    gates, given, more = room[: 9 * m * k].reshape(3, 3, m, k)
+                    old = before.take(parent[part], 0, out=room[9 * m * k : 10 * m * k].reshape(m, k), mode="clip")
+                    np.matmul(old, u, out=gates)
+                    c.take(char[part], 1, out=given, mode="clip")
+                    given += w.take(word[part], 1, out=more, mode="clip")
+                    zr, new = gates[:2], gates[2]
+                    zr += given[:2]
                     _logistic(zr)
-                    np.matmul(old, u_n, out=new)
-                    new *= zr[:, k:]
-                    new += c_n.take(char[part], 0, out=more, mode="clip")
-                    new += w_n.take(word[part], 0, out=more, mode="clip")
-                    _logistic(new)
-                    new *= 2
+                    new *= zr[1]
+                    new += given[2]
+                    np.exp(new, out=new)
+                    new += 1
+                    np.divide(2, new, out=new)
                     new -= 1
                     old -= new
-                    old *= zr[:, :k]
+                    old *= zr[0]
                     np.add(old, new, out=h[part])
                     np.matmul(h[part], wa, out=a[part])
             before, group = h, np.cumsum(starts) - 1
             yield t, group, a, h @ wo
 
+    def _room(self, name: str, size: int) -> np.ndarray:
+        """Memory for so many numbers, the same at each call: new memory takes the system longer than what is worked out there."""
+        if name not in self.kept or len(self.kept[name]) < size:
+            self.kept[name] = np.empty(size, np.float32)
+        return self.kept[name][:size]
+
 
 def _shared_order(inputs: np.ndarray, places: range) -> np.ndarray:
     """An order of windows, as inputs (WIDTH, n), that brings those together which are equal in the first of the places, for
@@ -276,4 +289,4 @@ def _logistic(x: np.ndarray) -> None:
     """1 / (1 + exp(x)) in place."""
     np.exp(x, out=x)
     x += 1
-    np.reciprocal(x, out=x)
+    np.divide(1, x, out=x)
