@@ -159,3 +159,13 @@ def test_a_worker_scores_equal_windows_once_over_the_tasks_of_a_query(monkeypatc
     assert sum(scored) == 3 * 37
     assert task(query) == first and sum(scored) == 3 * 37
     assert task(abuse.scored(Frame(), params, [])) == first and sum(scored) == 6 * 37  # another query scores for itself
+
+
+def test_characters_that_no_rule_changes_are_noted_once():
+    reader = abuse.Reader(["蓼苔重工"])
+    texts = ["今天ＡＢ外資，𠮷\0x", "今天蓼苔重工 1,234%", "퟿", ""]
+    plain = str.maketrans({k: v for k, v in reader.table.items() if k != v})
+    assert ord("今") not in reader.table
+    want = ["今天ab外資,𠮷x", "今天甲 0", "퟿", ""]
+    assert reader.normal(texts) == want == reader.normal(texts)
+    assert reader.table[ord("今")] == ord("今") and all(t.translate(plain) == t.translate(reader.table) for t in texts)

@@ -60,12 +60,20 @@ _HASH = _Powers()
 MASKS = "○*x口·"
 
 
+class _Table(dict):
+    """A table for str.translate that notes characters it doesn't change; to miss them each time is slow."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code
+        return code
+
+
 class Reader:
     """Texts to their windows."""
 
     def __init__(self, names: list[str]):
         table = {ord(c): r for c, r in zip(fold_rows()["ch"].to_pylist(), fold_rows()["repl"].to_pylist())}
-        self.table = str.maketrans({**table, 0: None})
+        self.table = _Table(str.maketrans({**table, 0: None}))
         names = {n.translate(self.table).lower().strip() for n in names}
         self.find = Finder(n for n in names if len(n) > 1 and not n.isascii())
 

@@ -282,7 +282,7 @@ def _shared_order(inputs: np.ndarray, places: range) -> np.ndarray:
 
     first = key(np.zeros(n, np.uint64), (0, 1, 2, 4, 6, 9), 12)
     _, rank = np.unique(first, return_inverse=True)
-    return np.argsort(key(rank.astype(np.uint64), (9, 12, 15, 19), 12), kind="stable")
+    return np.argsort(key(rank.astype(np.uint64), (9, 12, 15, 19), 12))
 
 
 def _logistic(x: np.ndarray) -> None:
